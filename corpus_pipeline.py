@@ -6,11 +6,12 @@ and returns a DataFrame; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import _common as C
-from tessella.llm import language_id, secret_scan
+from tessella.llm import language_id, ngram_join, packing, secret_scan
 
 #: A document stays if its language is known with at least this score.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -23,14 +24,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one of the smallest id.
+
+    Five-word shingles, similarity 0.8.  Of rows that share an id one stays; rows
+    without an id stand for no other and stay.
+    """
+    told = ngram_join.near_duplicates(docs, width=5, percent=80)
+    keep = told.where("doc_id = component_id").select("doc_id").groupBy("doc_id").count()
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if not keep.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document; reported secrets in its text are replaced."""
     return secret_scan.redact_secrets(docs).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
     ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
 ]
 
 #: Tokenizers and learned models are beyond SQL; tests hold run() against brute force.

@@ -1,0 +1 @@
+"""No stream, watermark or state exists in what this engine covers; all operators are batch DataFrames."""

@@ -8,7 +8,8 @@ move towards the shard that holds most of their group and has room; the moves
 into a shard are taken in order of their gain until its quota is full, in
 sub-groups with shares of the quota so that no one task orders a shard's moves.
 Unlinked documents have no say and fill what is left, so counts come out at
-most one apart (law `rows`).
+most one apart (law `rows`).  Moves need room, which unlinked documents leave;
+where all documents are linked and all shards full, groups gather less.
 
 A null text is an empty one: size 16, and linked with the other empty ones.
 Repeated rows are documents of their own; ties go by hashes; an empty table

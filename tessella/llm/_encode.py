@@ -19,11 +19,12 @@ import numpy as np
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Plain Latin words with nothing but usual punctuation after them.
+_TAIL = ".,;:!?#$%&*)"
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*)]*)\Z")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 #: Entries of the piece cache of one Python worker; it is emptied when full.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_400_000
 #: Pieces longer than this are encoded but not kept.
 CACHE_PIECE_CHARS = 48
 
@@ -45,7 +46,7 @@ class PieceEncoder:
         self.limit = cache_entries
         self.cache: dict[str, bytes] = {}
         self.lead = "" if style == "words" else " "
-        self.tails: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -90,29 +91,51 @@ class PieceEncoder:
                 out[w] = raw[i:j]
         return out
 
+    def _parts(self, piece: str) -> tuple[str, str] | None:
+        """A plain word and the punctuation after it."""
+        if piece.isascii():
+            stem = piece.rstrip(_TAIL)
+            return (stem, piece[len(stem) :]) if stem.isalpha() else None
+        m = _STEM.match(piece)
+        return m.groups() if m else None  # type: ignore[return-value]
+
+    def _alone(self, text: str) -> bytes:
+        """Ids of a pre-token that has no space before it."""
+        if (ids := self.bare.get(text)) is None:
+            if len(self.bare) > self.limit // 8:
+                self.bare.clear()
+            ids = self.bare[text] = self.whole(text)
+        return ids
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Puts pieces into the cache; those too long to keep are returned."""
         cache, once, rest = self.cache, {}, []
         stems: set[str] = set()
-        split = []
+        split: list[tuple[str, str, str, str]] = []
         for piece in missing:
-            m = _STEM.match(piece)
-            if m is None:
+            if len(piece) > CACHE_PIECE_CHARS:
                 rest.append(piece)
-            else:
-                stem, tail = m.groups()
-                split.append((piece, stem, tail))
-                if stem not in cache:
-                    stems.add(stem)
-        known = self._stems(list(stems))
-        for piece, stem, tail in split:
-            ids = known.get(stem) or cache[stem]
+                continue
+            head, feed, line = piece.partition("\n")
+            parts = self._parts(head)
+            below = self._parts(line) if feed and parts else None
+            if parts is None or (feed and below is None):
+                rest.append(piece)
+                continue
+            stem, tail = parts
+            if feed or tail:
+                split.append((piece, stem, tail, line))
+            if stem not in cache:
+                stems.add(stem)
+        cache.update(self._stems(list(stems)))
+        for piece, stem, tail, line in split:
+            ids = cache[stem]
             if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole(tail)
-                ids = ids + self.tails[tail]
-            (cache if len(piece) <= CACHE_PIECE_CHARS else once)[piece] = ids
-        cache.update((w, v) for w, v in known.items() if len(w) <= CACHE_PIECE_CHARS)
+                ids += self._alone(tail)
+            if line:  # a line feed alone is a pre-token, and so is the word after it
+                word, end = self._parts(line)  # type: ignore[misc]
+                ids += self._alone("\n") + self._alone(word) + (self._alone(end) if end else b"")
+            cache[piece] = ids
         if rest:
             for piece, e in zip(rest, self.tok.encode_batch_fast([self.lead + p for p in rest], add_special_tokens=False)):
                 ids = e.ids
@@ -121,26 +144,40 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, str, list[str]]] = []
+        split: list[tuple[int, str, list[str], list, list[int]]] = []
         missing: set[str] = set()
         if len(self.cache) > self.limit:  # the oldest are the most frequent
             self.cache = dict(islice(self.cache.items(), self.limit // 2))
-        cache = self.cache
+        get = self.cache.get
         for i, text in enumerate(texts):
             if self._odd(text):
                 out[i] = self.whole(text)
                 continue
             first, rest = self.pieces(text)
-            split.append((i, first, rest))
-            missing.update(set(rest).difference(cache))
+            found = list(map(get, rest))
+            gaps = [k for k, v in enumerate(found) if v is None] if None in found else []
+            split.append((i, first, rest, found, gaps))
+            missing.update([rest[k] for k in gaps])
         once = self._learn(missing) if missing else {}
-        get = cache.__getitem__ if not once else (lambda p: cache[p] if p in cache else once[p])
-        for i, first, rest in split:
-            body = b"".join(map(get, rest))
-            out[i] = self.whole(first) + body if first else body
+        for i, first, rest, found, gaps in split:
+            for k in gaps:
+                ids = get(rest[k])
+                found[k] = once[rest[k]] if ids is None else ids
+            body = b"".join(found)
+            out[i] = self._alone(first) + body if len(first) <= CACHE_PIECE_CHARS else self.whole(first) + body
         return out  # type: ignore[return-value]
 
 
+_shared: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def shared_encoder(path: str, style: str = "byte_level") -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs, so what it has learnt is not lost between them."""
+    if (path, style) not in _shared:
+        _shared[path, style] = PieceEncoder(path, style)
+    return _shared[path, style]
+
+
 def chunks_of(texts: list[str], chars: int = 2_000_000):
     """Slices of texts of about so many characters, with their start."""
     start, size = 0, 0

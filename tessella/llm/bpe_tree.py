@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import _common as C
-from tessella.llm._encode import PieceEncoder, chunks_of
+from tessella.llm._encode import PieceEncoder, chunks_of, shared_encoder
 
 LEAF = 4096
 
@@ -121,7 +121,7 @@ def _arrays(rows: list[tuple]) -> pa.RecordBatch:
 
 def _encode_usual(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
-        encoder = PieceEncoder(path)
+        encoder = shared_encoder(path)
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), C.column_texts(b, "text")
             for first, some in chunks_of(texts):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import _common as C
-from tessella.llm._encode import PieceEncoder, chunks_of
+from tessella.llm._encode import chunks_of, shared_encoder
 
 LIMIT, END_ID = 2048, 1
 
@@ -104,7 +104,7 @@ def pieces_of(docs: DataFrame, path: str, style: str, end_id: int, limit: int) -
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, seen, task = PieceEncoder(path, style), Counter(), TaskContext.get().partitionId()
+        encoder, seen, task = shared_encoder(path, style), Counter(), TaskContext.get().partitionId()
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), C.column_texts(b, "text")
             for first, some in chunks_of(texts):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import _common as C
-from tessella.llm._encode import PieceEncoder, chunks_of
+from tessella.llm._encode import chunks_of, shared_encoder
 
 SHARD_IDS, BLOCK, END_ID = 1 << 20, 512, 0
 _HEAD = struct.Struct("<4sIQQ")  # name, bits, ids, documents
@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, path: str, style: str = "byte_level", end_id:
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        encoder, task = PieceEncoder(path, style), TaskContext.get().partitionId()
+        encoder, task = shared_encoder(path, style), TaskContext.get().partitionId()
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         shard, done, held = 0, 0, 0

@@ -336,3 +336,24 @@ def m09_triplet_mining(spark, d):
 @query()
 def m11_sample_query_centers(spark, d):
     return L.sample_points(spark, 100, 4096, 4096, 168, 42)
+
+
+@query()
+def x14_pipeline_mains(spark, d):
+    """A whole run over the small grids: vectors, search, re-ranking, offsets, metrics."""
+    from tessella.config import PipelineConfig
+    from tessella.plans.pipeline import retrieve
+
+    p = X.patches(spark, d)
+    gt = pairs(spark, d).select(F.col("query_idx").alias("query_id"), F.col("tile_idx").alias("gt"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    config = PipelineConfig(aggregation="gap", top_k_vals=(1, 5), coarse_top_k=5, top_m=8)
+    return retrieve(p.where("image_idx % 4 = 0"), p.where("image_idx % 4 <> 0"), gt, config, (5, 5)).metrics
+
+
+@query()
+def x01_extractor_interface(spark, d):
+    """The plug-in without a network, over made-up pixels."""
+    from tessella.models import extract
+
+    images = X.table(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("image_idx"), F.lit(28).alias("height"), F.lit(42).alias("width"), F.lit(3).alias("channels"), F.encode(F.rpad(F.repeat("s_name", 300), 28 * 42 * 3, "x"), "utf-8").alias("pixels"))
+    return extract(images, "patch_stats").select("image_idx", "p", "row", "col", F.size("desc").alias("dims"))

@@ -15,7 +15,7 @@ from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
 from tessella.queries.pools import adjacency  # noqa: F401
-from tessella.queries.registry import query
+from tessella.queries.registry import doubles, query
 
 _PAIRS = with_views("patches") + ", pairs AS (SELECT DISTINCT image_idx AS query_idx, image_idx + 1 AS tile_idx FROM patches WHERE image_idx % 4 = 0)"
 _SIMS = _PAIRS + ', sims AS (SELECT query_idx, tile_idx, q.p AS qp, t.p AS tp, list_cosine_similarity(q."desc", t."desc") AS sim FROM pairs JOIN patches q ON q.image_idx = query_idx JOIN patches t ON t.image_idx = tile_idx)'
@@ -182,7 +182,7 @@ def g21_remove_small_regions(spark, d):
     return K.small_regions(cells, 5, 5, 3, "islands")
 
 
-@query("SELECT 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, r AS row, c AS col, (c + 0.5) * 512 AS cx, (r + 0.5) * 512 AS cy, c * 512 AS x0, r * 512 AS y0, (c + 1) * 512 AS x1, (r + 1) * 512 AS y1 FROM (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 8)) AS c)")
+@query(doubles("SELECT 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, r AS row, c AS col, (c + 0.5) * 512 AS cx, (r + 0.5) * 512 AS cy, c * 512 AS x0, r * 512 AS y0, (c + 1) * 512 AS x1, (r + 1) * 512 AS y1 FROM (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 8)) AS c)", "cx", "cy"))
 def g22_tile_grid(spark, d):
     return G.tile_grid(spark, 8, 8, 512)
 
@@ -192,7 +192,7 @@ def k08_write_tiles(spark, d):
     return G.tile_grid(spark, 4, 4, 256).select("tile_id", "row", "col", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
 
 
-@query(f"{with_views('query_geo')}, t AS (SELECT query_idx, x, y, CAST(least(greatest(floor(y / 512), 0), 7) AS BIGINT) AS r, CAST(least(greatest(floor(x / 512), 0), 7) AS BIGINT) AS c FROM query_geo) SELECT query_idx, 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, x - (c + 0.5) * 512 AS ox, y - (r + 0.5) * 512 AS oy FROM t")
+@query(doubles(f"{with_views('query_geo')}, t AS (SELECT query_idx, x, y, CAST(least(greatest(floor(y / 512), 0), 7) AS BIGINT) AS r, CAST(least(greatest(floor(x / 512), 0), 7) AS BIGINT) AS c FROM query_geo) SELECT query_idx, 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, x - (c + 0.5) * 512 AS ox, y - (r + 0.5) * 512 AS oy FROM t", "ox", "oy"))
 def g23_point_to_tile(spark, d):
     _, _, t, ox, oy = G.point_to_tile(F.col("x"), F.col("y"), 512, 8, 8)
     return X.query_geo(spark, d).select("query_idx", t.alias("tile_id"), ox.alias("ox"), oy.alias("oy"))
@@ -208,7 +208,7 @@ def g25_overlap_tiles(spark, d):
     return G.overlap_starts(spark, 4000, 1024, 128)
 
 
-@query("SELECT s_suppkey, 53.9 - (s_nationkey * 256 + 0.25 * 128 + 256 - 2048) * 0.00001 AS lat, -1.1 + (s_suppkey * 256 + 0.5 * 128 + 256 - 2048) * 0.00002 AS lon FROM supplier")
+@query(doubles("SELECT s_suppkey, 53.9 - (s_nationkey * 256 + 0.25 * 128 + 256 - 2048) * 0.00001 AS lat, -1.1 + (s_suppkey * 256 + 0.5 * 128 + 256 - 2048) * 0.00002 AS lon FROM supplier", "lat", "lon"))
 def g26_norm_to_latlon(spark, d):
     lat, lon = G.norm_to_latlon(F.col("s_suppkey"), F.col("s_nationkey"), F.lit(0.5), F.lit(0.25), 4096, 53.9, -1.1, 0.00001, 0.00002)
     return X.table(spark, d, "supplier").select("s_suppkey", lat.alias("lat"), lon.alias("lon"))

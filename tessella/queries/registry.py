@@ -19,3 +19,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def doubles(sql: str, *columns: str) -> str:
+    """The same SQL with columns that DuckDB would give as decimals cast to double."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in columns)}) FROM ({sql})"

@@ -11,7 +11,7 @@ from tessella.operators import retrieval as R
 from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
-from tessella.queries.registry import query
+from tessella.queries.registry import doubles, query
 from tessella.queries.search import lowest_positive, positives, ranking
 from tessella.sources import files as FS
 from tessella.sources import manifests as M
@@ -74,7 +74,7 @@ def s08_load_gt_lists(spark, d):
     return M.remap_truth(truth, q, p)
 
 
-@query("SELECT s_name AS name, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(s_suppkey AS DOUBLE) AS z, round(s_nationkey * 5.0, 6) + 0.0 AS yaw, 0.0 AS pitch, 0.0 AS roll FROM supplier")
+@query(doubles("SELECT s_name AS name, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(s_suppkey AS DOUBLE) AS z, round(s_nationkey * 5.0, 6) + 0.0 AS yaw, 0.0 AS pitch, 0.0 AS roll FROM supplier", "yaw", "pitch", "roll"))
 def s09_parse_camera_pose(spark, d):
     s = X.table(spark, d, "supplier")
     a = F.radians(F.col("s_nationkey") * 5.0)
@@ -305,7 +305,7 @@ def j11_negatives_anti_join(spark, d):
     return sampled.select("query_id", "db_id").join(pos, ["query_id", "db_id"], "left_anti")
 
 
-@query(f"{_RJ} SELECT query_id, db_id, 512.0 AS ew, CASE WHEN db_id % 5 = 0 THEN 0.0 ELSE (db_id % 8 + 0.5) * 512 END AS cx FROM ranking WHERE rank = 1")
+@query(doubles(f"{_RJ} SELECT query_id, db_id, 512.0 AS ew, CASE WHEN db_id % 5 = 0 THEN 0.0 ELSE (db_id % 8 + 0.5) * 512 END AS cx FROM ranking WHERE rank = 1", "ew", "cx"))
 def j14_top1_attribute_join(spark, d):
     """Extent and centre of the first tile; every fifth has none and takes the given defaults."""
     attr = X.vectors(spark, d).where("vec_id % 5 <> 0").select(F.col("vec_id").alias("db_id"), F.lit(512.0).alias("ew"), ((F.col("vec_id") % 8 + 0.5) * 512).cast("double").alias("cx"))

@@ -55,7 +55,10 @@ class ImpactIndex:
             self.cuts.append(np.append(starts, len(rows)))
 
     def _exact(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return (self.exact[rows] @ query.astype(np.float64)).astype(np.int64)
+        q = query.astype(np.float64)
+        if len(rows) * 8 > len(self.ids):  # picking out that many rows costs more than the product of all
+            return (self.exact @ q)[rows].astype(np.int64)
+        return (self.exact[rows] @ q).astype(np.int64)
 
     def _best(self, query: np.ndarray, rows: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[self.ids[rows] != own]

@@ -24,18 +24,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+#: Dropped ids of at most this number (8 bytes each) are sent to every task; more are joined by a shuffle.
+MOST_SENT_IDS = 4_000_000
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id.
 
-    Five-word shingles, similarity 0.8.  Of rows that share an id one stays; rows
-    without an id stand for no other and stay.
+    Five-word shingles, similarity 0.8.  Of rows that share an id one stays, if
+    any of them stands for its group; rows without an id stay.
     """
-    told = ngram_join.near_duplicates(docs, width=5, percent=80)
-    keep = told.where("doc_id = component_id").select("doc_id").groupBy("doc_id").count()
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if not keep.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    told = C.stored(ngram_join.near_duplicates(docs, width=5, percent=80), "near-copies").where("doc_id is not null")
+    ids = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = C.stored(ids.where("rows > 1 or not stays"), "near-copies")
+    gone = ids.where("not stays").select("doc_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT_IDS else gone, "doc_id", "left_anti")
+    if not ids.where("stays").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,10 +8,12 @@ sets are one node.  The global order of the n-grams puts common n-grams last
    found in more than `common` sets are the common ones.  Their number has a
    bound: of more than `max_common`, the most frequent are taken, which changes
    what candidates cost and not what is found.
-2. Two sets of the wanted similarity share an n-gram among the first
-   n - ceil(t n) + 1 of the order (prefix).  The prefixes meet fragment by
-   fragment.  A short posting list gives its pairs; a long one, which only near
-   copies of a large family fill, gives each member's edge to one hub.
+2. With p = n - ceil(t n) + 1 and l = p // 2, two sets of the wanted similarity
+   share l n-grams (the smaller l) among the first p + l - 1 of the order
+   (prefix).  The prefixes meet fragment by fragment.  A short posting list
+   counts its pairs, and a pair whose counts sum to less than l over all
+   fragments is no candidate; a long list, which only near copies of a large
+   family fill, gives each member's edge to one hub.
 3. Candidate pairs are dealt out by the component they lie in, large components
    in tiles of two blocks, and their partial overlaps are counted fragment by
    fragment and summed; a pair is dropped as soon as the rest cannot suffice.
@@ -122,6 +124,11 @@ def _prefix(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
+def _shared(n, percent: int):
+    """The n-grams that must be shared within the prefix; of a number or an array of them."""
+    return np.maximum(1, _prefix(n, percent) // 2)
+
+
 def _by_fragment(tokens: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """The non-empty fragments of sorted tokens."""
     edges = np.searchsorted(tokens, (np.arange(buckets + 1, dtype=np.float64) * (2.0**BITS / buckets)).astype(np.uint64))
@@ -164,7 +171,11 @@ def common_tokens(sets: DataFrame, percent: int, buckets: int, common: int, max_
 
 
 def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndarray, np.ndarray], short_list: int) -> DataFrame:
-    """star, a, b: pairs of nodes (star false), and edges from members of long lists to their hubs."""
+    """star, a, b: pairs of nodes (star false), and edges from members of long lists to their hubs.
+
+    A pair with an n-gram in a long list is covered by the list's family; any
+    other has all that it shares in short lists, so their counts are complete.
+    """
     told = sets.sparkSession.sparkContext.broadcast(known)
 
     def prefixes(batches):
@@ -173,7 +184,7 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
             tokens, nodes, sizes = [], [], []
             for raw, node in zip(b.column("tokens").to_pylist(), b.column("node").to_pylist()):
                 t = unpacked(raw)
-                p = _prefix(len(t), percent)
+                p = _prefix(len(t), percent) + int(_shared(len(t), percent)) - 1
                 at = np.searchsorted(common, t)
                 at[at == len(common)] = 0
                 is_common = common[at] == t if len(common) else np.zeros(len(t), bool)
@@ -191,6 +202,15 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
                 cut = _by_fragment(t, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([packed(t[c]) for _, c in cut], pa.binary()), pa.array([n[c].tobytes() for _, c in cut], pa.binary()), pa.array([s[c].tobytes() for _, c in cut], pa.binary())], names=["bucket", "tokens", "nodes", "sizes"])
 
+    names = ["star", "a", "b", "least", "c"]
+
+    def counted(a, b, least, c):
+        """Equal pairs summed."""
+        order = np.lexsort((b, a))
+        a, b, least, c = a[order], b[order], least[order], c[order]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        return a[starts], b[starts], least[starts], np.add.reduceat(c, starts) if len(a) else c
+
     def meet(batches):
         parts = [(unpacked(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)) for b in batches for x, y, z in zip(b.column("tokens").to_pylist(), b.column("nodes").to_pylist(), b.column("sizes").to_pylist())]
         if not parts:
@@ -204,28 +224,34 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         length = np.diff(np.r_[starts, len(t)])
         seen: set[bytes] = set()
+        held: list[tuple] = []
         for m in np.unique(length[length > 1]).tolist():
             first = starts[length == m]
             if m > short_list:
                 for k in first.tolist():
                     members = n[k : k + m]
-                    key = members.tobytes()
+                    key = xxhash.xxh3_128_digest(members.tobytes())
                     if key not in seen:  # a family's n-grams mostly have the same list
-                        seen.add(xxhash.xxh3_128_digest(key))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m - 1, bool)), pa.array(np.full(m - 1, members[0])), pa.array(members[1:])], names=["star", "a", "b"])
+                        seen.add(key)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m - 1, bool)), pa.array(np.full(m - 1, members[0])), pa.array(members[1:]), pa.array(np.zeros(m - 1, np.int64)), pa.array(np.zeros(m - 1, np.int64))], names=names)
                 continue
             i, j = np.triu_indices(m, 1)
             step = max(1, 2_000_000 // len(i))
             for at in range(0, len(first), step):
                 rows = first[at : at + step, None]
-                a, b = (rows + i).ravel(), (rows + j).ravel()
-                fits = 100 * np.minimum(s[a], s[b]) >= percent * np.maximum(s[a], s[b])
-                pairs = np.unique(np.stack((n[a[fits]], n[b[fits]]), 1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["star", "a", "b"])
+                x, y = (rows + i).ravel(), (rows + j).ravel()
+                fits = 100 * np.minimum(s[x], s[y]) >= percent * np.maximum(s[x], s[y])
+                held.append(counted(n[x[fits]], n[y[fits]], np.minimum(_shared(s[x[fits]], percent), _shared(s[y[fits]], percent)), np.ones(int(fits.sum()), np.int64)))
+                if sum(len(h[0]) for h in held) > 4_000_000:
+                    held = [counted(*map(np.concatenate, zip(*held)))]
+        if held:
+            a, b, least, c = counted(*map(np.concatenate, zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), pa.array(least), pa.array(c)], names=names)
 
     posted = sets.where("tokens is not null").select("node", "tokens").mapInArrow(prefixes, "bucket int, tokens binary, nodes binary, sizes binary")
-    return posted.repartition(buckets, "bucket").mapInArrow(meet, "star boolean, a long, b long").distinct()
+    met = posted.repartition(buckets, "bucket").mapInArrow(meet, "star boolean, a long, b long, least long, c long")
+    summed = met.groupBy("star", "a", "b").agg(F.max("least").alias("least"), F.sum("c").alias("c"))
+    return summed.where("star or c >= least").select("star", "a", "b")
 
 
 def _reaches(overlap, na, nb, percent: int):

@@ -42,34 +42,67 @@ def _packed(df: DataFrame, key: str, vec: str, block: str, n_blocks: int) -> Dat
     return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, flat binary").withColumnRenamed("block", block)
 
 
-def top_k_blocks(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine", block_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), V.EPS)
+
+
+def _best(q: np.ndarray, m: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores (to nine places) of the k best rows of m for each row of q; equal scores keep the order of m."""
+    if metric == "cosine":
+        s = _unit(q) @ _unit(m).T
+    else:
+        s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * (q @ m.T), 0))
+    s = np.round(s, 9)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return best, np.take_along_axis(s, best, 1)
+
+
+def _top_k_sent(queries: DataFrame, db: DataFrame, k: int, metric: str) -> DataFrame:
+    """Every task gets the whole database; a query's result is complete where it is made."""
+    t = db.select(F.col("db_id").cast("long").alias("db_id"), V.as_double("e").alias("e")).toArrow()
+    ids = t.column("db_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    m = t.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 0))
+    told = db.sparkSession.sparkContext.broadcast((ids[order], m))
+
+    def run(batches):
+        named, m = told.value
+        for b in batches:
+            q_ids = b.column("query_id").to_numpy()
+            if not len(q_ids) or not len(named):
+                continue
+            best, s = _best(b.column("q").flatten().to_numpy().reshape(len(q_ids), -1), m, k, metric)
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(named[best].ravel()), pa.array(s.ravel()), pa.array(np.tile(np.arange(1, n + 1), len(q_ids)))], names=["query_id", "db_id", "sim", "rank"])
+
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), V.as_double("q").alias("q"))
+    return asked.mapInArrow(run, "query_id long, db_id long, sim double, rank long")
+
+
+def top_k_blocks(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine", block_rows: int = 16384, query_rows: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The same as cosine_pairs and top_k (or by Euclid, metric "l2"), as matrix products.
 
-    Database and queries are packed into blocks of bounded rows; each pair of
-    blocks is one product that leaves k rows for each query, merged at the end.
+    A database of at most `broadcast_bytes` is sent to every task.  A larger one
+    and its queries are packed into blocks of bounded rows; each pair of blocks is
+    one product that leaves k rows for each query, merged at the end.
     """
-    n_db, n_q = db.count(), queries.count()
-    blocks = max(1, -(-n_db // block_rows))
+    size = db.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("e")).alias("width")).first()
+    if size["n"] * (size["width"] or 0) * 8 <= broadcast_bytes:
+        return _top_k_sent(queries, db, k, metric)
+    n_q = queries.count()
+    blocks = max(1, -(-size["n"] // block_rows))
     left = _packed(db, "db_id", "e", "block", blocks)
     asked = _packed(queries, "query_id", "q", "part", max(1, -(-n_q // query_rows)))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), V.EPS)
-
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                m, q = np.frombuffer(r["flat"], "<f8").reshape(len(ids), -1), np.frombuffer(r["q_flat"], "<f8").reshape(len(q_ids), -1)
-                if metric == "cosine":
-                    s = unit(q) @ unit(m).T
-                else:
-                    s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * (q @ m.T), 0))
                 order = np.argsort(ids, kind="stable")
-                s, named = np.round(s[:, order], 9), ids[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(named[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "db_id", "sim"])
+                m, q = np.frombuffer(r["flat"], "<f8").reshape(len(ids), -1)[order], np.frombuffer(r["q_flat"], "<f8").reshape(len(q_ids), -1)
+                best, s = _best(q, m, k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(ids[order][best].ravel()), pa.array(s.ravel())], names=["query_id", "db_id", "sim"])
 
     found = left.join(asked, "block").mapInArrow(run, "query_id long, db_id long, sim double")
     return top_k(found, k)

@@ -19,7 +19,7 @@ _RANK = with_views("ranking")
 
 def ranking(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     q, db = X.split_vectors(spark, d)
-    return R.top_k(R.cosine_pairs(q, db), k).withColumn("sim", F.round("sim", 9))
+    return R.top_k_blocks(q, db, k)
 
 
 def positives(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def t01_topk_per_query(spark, d):
 def t03_topk_merge(spark, d):
     """Partial top-k of each pair of blocks, merged."""
     q, db = X.split_vectors(spark, d)
-    return R.top_k_blocks(q, db, 10, block_rows=128, query_rows=16).select("query_id", "rank", "db_id", r6(F.col("sim")).alias("sim"))
+    return R.top_k_blocks(q, db, 10, block_rows=128, query_rows=16, broadcast_bytes=0).select("query_id", "rank", "db_id", r6(F.col("sim")).alias("sim"))
 
 
 @query(f"{_RANK} SELECT query_id, avg(sim) AS x FROM ranking WHERE rank <= 5 GROUP BY 1".replace("avg(sim)", "round(avg(sim), 6)"))
@@ -176,7 +176,8 @@ def w08_pick_example(spark, d):
 
 @query(f"{_RANK} SELECT query_id, db_id, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS r FROM ranking) WHERE r = 1")
 def w09_first_wins_dedup(spark, d):
-    first = ranking(spark, d).groupBy("query_id", "label").agg(F.min_by("db_id", "rank").alias("db_id"), F.min("rank").alias("rank"))
+    labels = X.vectors(spark, d).select(F.col("vec_id").alias("db_id"), "label")
+    first = ranking(spark, d).join(labels, "db_id").groupBy("query_id", "label").agg(F.min_by("db_id", "rank").alias("db_id"), F.min("rank").alias("rank"))
     return first.select("query_id", "db_id", "rank")
 
 

@@ -114,8 +114,9 @@ def test_delaunay_has_no_crossings():
 def test_both_search_paths_agree(spark):
     q, db = X.split_vectors(spark, SF)
     one = R.top_k(R.cosine_pairs(q, db), 5).select("query_id", "rank", "db_id").collect()
-    two = R.top_k_blocks(q, db, 5, block_rows=100, query_rows=7).select("query_id", "rank", "db_id").collect()
-    assert set(one) == set(two)
+    for most in (0, 1 << 20):
+        two = R.top_k_blocks(q, db, 5, block_rows=100, query_rows=7, broadcast_bytes=most).select("query_id", "rank", "db_id").collect()
+        assert set(one) == set(two)
 
 
 def test_manifests_and_sinks(spark, tmp_path):

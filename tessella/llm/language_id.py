@@ -60,8 +60,11 @@ def _counts(rows: list, langs: list[str], smooth: float) -> tuple[dict[str, int]
 def fit(docs: DataFrame, keep: Column, sample_per_lang: int = 2000, max_words: int = 20000, max_grams: int = 20000, longest: int = 4) -> LanguageModel:
     """docs: doc_id, text, lang.  keep: the rows that may teach."""
     labelled = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_per_lang).select("doc_id").distinct()
+    labelled = labelled.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for by in (["lang", "_salt"], ["lang"]):  # a language may hold most rows: sub-groups are cut first
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        labelled = labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_per_lang).drop("_r")
+    chosen = labelled.select("doc_id").distinct()
     # at most sample_per_lang ids of each language
     sample = docs.where(keep & F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
     words = (

@@ -131,6 +131,23 @@ def s19_scan_result_json(spark, d):
     return M.rankings_of(text)
 
 
+@query("SELECT s_name AS image, CAST(0 AS BIGINT) AS seg, CAST(s_suppkey % 3 AS BIGINT) AS row, CAST(s_nationkey % 4 AS BIGINT) AS col FROM supplier")
+def s05_scan_masks(spark, d):
+    """A JSON file for each supplier, with one mask of one set cell."""
+    cell = lambda r, c: F.when((F.col("s_suppkey") % 3 == r) & (F.col("s_nationkey") % 4 == c), F.lit("1")).otherwise(F.lit("0"))
+    grid = F.concat_ws(",", *[F.concat(F.lit("["), F.concat_ws(",", *[cell(r, c) for c in range(4)]), F.lit("]")) for r in range(3)])
+    text = F.concat(F.lit('{"masks": [{"segmentation": ['), grid, F.lit("]}]}"))
+    return FS.parse_masks(X.table(spark, d, "supplier").select(F.concat(F.lit("/m/"), "s_name", F.lit(".json")).alias("path"), F.encode(text, "utf-8").alias("content")))
+
+
+@query("SELECT s_name AS path, CAST(2 AS INTEGER) AS height, CAST(2 AS INTEGER) AS width, round((97 / 255.0 - 0.485) / 0.229, 6) AS r, round((98 / 255.0 - 0.456) / 0.224, 6) AS g, round((99 / 255.0 - 0.406) / 0.225, 6) AS b FROM supplier")
+def s20_decode_image(spark, d):
+    """Made-up pixels of one colour; files go through decode_images."""
+    data = F.encode(F.repeat(F.lit("cba"), 4), "utf-8")  # blue, green, red
+    images = X.table(spark, d, "supplier").select(F.col("s_name").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return FS.normalized_pixels(images).select("path", "height", "width", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
 @query()
 def s06_scan_image_folder(spark, d):
     paths = X.table(spark, d, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 3 == 0, "x/queries/").otherwise("x/database/"), F.lit("im"), "s_suppkey", F.lit(".jpg")).alias("path"))

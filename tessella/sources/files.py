@@ -34,7 +34,11 @@ def with_distractors(tiles: DataFrame, distractors: DataFrame) -> DataFrame:
 
 
 def scan_masks(spark: SparkSession, folder: str) -> DataFrame:
-    """image (file stem), seg, row, col of .npy, .npz and .json mask files.  Pickles are refused."""
+    return parse_masks(spark.read.format("binaryFile").option("pathGlobFilter", "*.{npy,npz,json}").load(folder).select("path", "content"))
+
+
+def parse_masks(files: DataFrame) -> DataFrame:
+    """files: path, content.  image (file stem), seg, row, col of .npy, .npz and .json mask files.  Pickles are refused."""
     import numpy as np
     import pandas as pd
 
@@ -58,7 +62,7 @@ def scan_masks(spark: SparkSession, folder: str) -> DataFrame:
                     out.append(pd.DataFrame({"image": path.rsplit("/", 1)[-1].rsplit(".", 1)[0], "seg": s, "row": r, "col": c}))
             yield pd.concat(out) if out else pd.DataFrame({"image": [], "seg": [], "row": [], "col": []})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{npy,npz,json}").load(folder).mapInPandas(run, "image string, seg long, row long, col long")
+    return files.mapInPandas(run, "image string, seg long, row long, col long")
 
 
 def choose_masks(images: DataFrame, manifest: DataFrame, cached: DataFrame, policy: str = "auto") -> DataFrame:
@@ -69,8 +73,13 @@ def choose_masks(images: DataFrame, manifest: DataFrame, cached: DataFrame, poli
     return images.select("image").join(m, "image", "left").join(c, "image", "left").select("image", F.coalesce(source, F.lit("none")).alias("source"))
 
 
-def decode_images(spark: SparkSession, folder: str, mean=IMAGENET_MEAN, std=IMAGENET_STD) -> DataFrame:
-    """path, height, width and the normalised mean of each channel (RGB); Spark decodes, numpy scales."""
+def decode_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Spark decodes, normalized_pixels scales."""
+    return normalized_pixels(spark.read.format("image").load(folder).select("image.*"))
+
+
+def normalized_pixels(images: DataFrame, mean=IMAGENET_MEAN, std=IMAGENET_STD) -> DataFrame:
+    """images: origin, height, width, nChannels, data (BGR bytes).  path, height, width and the normalised mean of each channel (RGB)."""
     import numpy as np
     import pandas as pd
 
@@ -83,4 +92,4 @@ def decode_images(spark: SparkSession, folder: str, mean=IMAGENET_MEAN, std=IMAG
                 rows.append((r.origin, r.height, r.width, *v))
             yield pd.DataFrame(rows, columns=["path", "height", "width", "r", "g", "b"])
 
-    return spark.read.format("image").load(folder).select("image.*").mapInPandas(run, "path string, height int, width int, r double, g double, b double")
+    return images.mapInPandas(run, "path string, height int, width int, r double, g double, b double")

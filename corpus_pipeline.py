@@ -20,8 +20,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a clear language."""
     model = language_id.fit(docs, F.lit(True))
-    told = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return told.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    told = language_id.labelled(docs, model)
+    return told.where((F.col("_language.lang_pred") != language_id.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 #: Dropped ids of at most this number (8 bytes each) are sent to every task; more are joined by a shuffle.

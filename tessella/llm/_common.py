@@ -65,6 +65,21 @@ def dealt_rank(df: DataFrame, keys: list[str], order: list, name: str, salts: in
     return ranked.join(sizes, on).select(*[ranked[c] for c in df.columns], (F.col("_before") + F.col("_in")).cast("long").alias(name))
 
 
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers are used again by later stages, so whatever else was kept goes first;
+    their memory has the bound of one cache and not of the sum of all.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null as nothing."""
     return [b"" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

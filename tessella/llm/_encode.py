@@ -15,6 +15,8 @@ from itertools import islice
 
 import numpy as np
 
+from tessella.llm import _common as C
+
 #: White space other than the plain space and line feed.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -168,14 +170,9 @@ class PieceEncoder:
         return out  # type: ignore[return-value]
 
 
-_shared: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def shared_encoder(path: str, style: str = "byte_level") -> PieceEncoder:
     """One encoder for all tasks that a Python worker runs, so what it has learnt is not lost between them."""
-    if (path, style) not in _shared:
-        _shared[path, style] = PieceEncoder(path, style)
-    return _shared[path, style]
+    return C.kept(("encoder", path, style), lambda: PieceEncoder(path, style))
 
 
 def chunks_of(texts: list[str], chars: int = 2_000_000):

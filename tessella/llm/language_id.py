@@ -21,9 +21,11 @@ answer; of other columns nothing is read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +90,7 @@ def fit(docs: DataFrame, keep: Column, sample_per_lang: int = 2000, max_words: i
 class Scorer:
     """Sums by language of a text's words; a raw piece between spaces is scored once and kept."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, model: LanguageModel):
         self.m = model
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        scorer = Scorer(told.value)
+        scorer = C.kept(("scorer", id(told.value)), lambda: Scorer(told.value))
         for b in batches:
             got = [scorer.predict(x) for x in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -180,6 +182,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     return cols.mapInArrow(run, schema)
 
 
+def labelled(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """docs with a column `_language` (lang_pred, score); only the text goes to Python, and it does not come back."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = C.kept(("scorer", id(told.value)), lambda: Scorer(told.value))
+        for texts in batches:
+            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return docs.withColumn("_language", F.pandas_udf(run, "lang_pred string, score double")(F.col(text)))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 

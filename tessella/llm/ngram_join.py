@@ -51,7 +51,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh3_64_intdigest(word)
@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document; equal sets within a task give their tokens once."""
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        hashes, seen = C.kept("words", WordHashes), set()
         for b in batches:
             keys, nodes, sizes, blobs = b.column("doc_id").to_pylist(), [], [], []
             for text in C.column_bytes(b, "text"):

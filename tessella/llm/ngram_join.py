@@ -48,6 +48,18 @@ COMMON, MAX_COMMON, SHORT_LIST, BLOCK_NODES, BLOCK_BYTES, FRAGMENTS, BITS = 8, 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+#: Rows of sets that are unpacked at a time, and pairs that are held at a time.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 4000, 250_000
+
+
+def _slices(batches):
+    """Batches of few rows; word hashes that a worker may still keep are let go first."""
+    C.kept("join", object)
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(k, ROWS_AT_ONCE)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
@@ -139,7 +151,7 @@ def common_tokens(sets: DataFrame, percent: int, buckets: int, common: int, max_
     """Tokens that stand in the zones of more than `common` sets, sorted, and their counts."""
 
     def zones(batches):
-        for b in batches:
+        for b in _slices(batches):
             parts = [unpacked(x) for x in b.column("tokens").to_pylist()]
             if parts:
                 tokens, counts = np.unique(np.concatenate([t[: 2 * _prefix(len(t), percent) + 2] for t in parts]), return_counts=True)
@@ -180,7 +192,7 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
 
     def prefixes(batches):
         common, count = told.value
-        for b in batches:
+        for b in _slices(batches):
             tokens, nodes, sizes = [], [], []
             for raw, node in zip(b.column("tokens").to_pylist(), b.column("node").to_pylist()):
                 t = unpacked(raw)
@@ -212,7 +224,7 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
         return a[starts], b[starts], least[starts], np.add.reduceat(c, starts) if len(a) else c
 
     def meet(batches):
-        parts = [(unpacked(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)) for b in batches for x, y, z in zip(b.column("tokens").to_pylist(), b.column("nodes").to_pylist(), b.column("sizes").to_pylist())]
+        parts = [(unpacked(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)) for b in _slices(batches) for x, y, z in zip(b.column("tokens").to_pylist(), b.column("nodes").to_pylist(), b.column("sizes").to_pylist())]
         if not parts:
             return
         t, n, s = (np.concatenate(x) for x in zip(*parts))
@@ -236,13 +248,13 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
                         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m - 1, bool)), pa.array(np.full(m - 1, members[0])), pa.array(members[1:]), pa.array(np.zeros(m - 1, np.int64)), pa.array(np.zeros(m - 1, np.int64))], names=names)
                 continue
             i, j = np.triu_indices(m, 1)
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, PAIRS_AT_ONCE // len(i))
             for at in range(0, len(first), step):
                 rows = first[at : at + step, None]
                 x, y = (rows + i).ravel(), (rows + j).ravel()
                 fits = 100 * np.minimum(s[x], s[y]) >= percent * np.maximum(s[x], s[y])
                 held.append(counted(n[x[fits]], n[y[fits]], np.minimum(_shared(s[x[fits]], percent), _shared(s[y[fits]], percent)), np.ones(int(fits.sum()), np.int64)))
-                if sum(len(h[0]) for h in held) > 4_000_000:
+                if sum(len(h[0]) for h in held) > 4 * PAIRS_AT_ONCE:
                     held = [counted(*map(np.concatenate, zip(*held)))]
         if held:
             a, b, least, c = counted(*map(np.concatenate, zip(*held)))

@@ -223,6 +223,11 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
         starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         return a[starts], b[starts], least[starts], np.add.reduceat(c, starts) if len(a) else c
 
+    def partial(held):
+        """Pairs with their counts so far; counts are summed over all such parts later."""
+        a, b, least, c = counted(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), pa.array(least), pa.array(c)], names=names)
+
     def meet(batches):
         parts = [(unpacked(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)) for b in _slices(batches) for x, y, z in zip(b.column("tokens").to_pylist(), b.column("nodes").to_pylist(), b.column("sizes").to_pylist())]
         if not parts:
@@ -255,10 +260,10 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
                 fits = 100 * np.minimum(s[x], s[y]) >= percent * np.maximum(s[x], s[y])
                 held.append(counted(n[x[fits]], n[y[fits]], np.minimum(_shared(s[x[fits]], percent), _shared(s[y[fits]], percent)), np.ones(int(fits.sum()), np.int64)))
                 if sum(len(h[0]) for h in held) > 4 * PAIRS_AT_ONCE:
-                    held = [counted(*map(np.concatenate, zip(*held)))]
+                    yield partial(held)
+                    held = []
         if held:
-            a, b, least, c = counted(*map(np.concatenate, zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), pa.array(least), pa.array(c)], names=names)
+            yield partial(held)
 
     posted = sets.where("tokens is not null").select("node", "tokens").mapInArrow(prefixes, "bucket int, tokens binary, nodes binary, sizes binary")
     met = posted.repartition(buckets, "bucket").mapInArrow(meet, "star boolean, a long, b long, least long, c long")

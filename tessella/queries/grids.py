@@ -142,7 +142,7 @@ def g14_mask_bbox(spark, d):
 
 @query()
 def g15_nms(spark, d):
-    return K.nms(X.boxes(spark, d).where("box_id % 5 = 0"), 0.5)
+    return K.nms(X.boxes(spark, d), 0.5)
 
 
 @query("""WITH l AS (SELECT unnest([1, 2]) AS layer), p AS (SELECT layer, CAST(2 ** layer AS BIGINT) AS n FROM l), o AS (SELECT layer, n, CAST(floor(0.3413333 * 480 * (2.0 / n)) AS BIGINT) AS over FROM p),
@@ -355,5 +355,5 @@ def x01_extractor_interface(spark, d):
     """The plug-in without a network, over made-up pixels."""
     from tessella.models import extract
 
-    images = X.table(spark, d, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("image_idx"), F.lit(28).alias("height"), F.lit(42).alias("width"), F.lit(3).alias("channels"), F.encode(F.rpad(F.repeat("s_name", 300), 28 * 42 * 3, "x"), "utf-8").alias("pixels"))
+    images = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_idx"), F.lit(28).alias("height"), F.lit(42).alias("width"), F.lit(3).alias("channels"), F.encode(F.rpad(F.repeat("s_name", 300), 28 * 42 * 3, "x"), "utf-8").alias("pixels"))
     return extract(images, "patch_stats").select("image_idx", "p", "row", "col", F.size("desc").alias("dims"))

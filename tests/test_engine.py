@@ -152,3 +152,20 @@ def test_extractors():
     with pytest.raises(ValueError, match="plugged in"):
         models.build("dinov2")
     assert models.build("patch_stats", patch_stride=2)(np.zeros((1, 5, 4, 3))).shape == (1, 4, 12)
+
+
+def test_queries_without_sql_take_all_rows(spark):
+    from tessella.queries import QUERIES
+
+    want = set()
+    for _, g in X.boxes(spark, SF).toPandas().groupby("grp"):
+        left = g.sort_values(["score", "box_id"], ascending=[False, True]).to_dict("records")
+        while left:
+            a, *left = left
+            want.add((a["grp"], a["box_id"]))
+            area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+            both = lambda b: max(min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), 0) * max(min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]), 0)
+            left = [b for b in left if both(b) / (area(a) + area(b) - both(b)) <= 0.5]
+    assert {(r["grp"], r["box_id"]) for r in QUERIES["g15_nms"](spark, SF).collect()} == want
+    images = QUERIES["x01_extractor_interface"](spark, SF).select("image_idx").distinct().count()
+    assert images == X.table(spark, SF, "supplier").count() > 5

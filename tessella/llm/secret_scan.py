@@ -53,19 +53,19 @@ def _opaque(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and len(set(value)) >= 10
 
 
-def weak_candidates(text: str) -> list[tuple[int, int, str]]:
+def weak_candidates(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
     if ":" in text or "=" in text:
         out += [(*m.span(1), "ident") for m in _IDENT.finditer(text)]
         out += [(*m.span(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text else []
-        if out:  # an opaque value alone is never reported
-            out += [(*m.span(), "value") for m in _VALUE.finditer(text) if _opaque(m[0])]
+    if out or any(kind == "access" for _, _, kind in strong):  # an opaque value alone is never reported
+        out += [(*m.span(), "value") for m in _VALUE.finditer(text) if _opaque(m[0])]
     return out
 
 
 def linked(text: str, strong: list[tuple[int, int, str]], scope_chars: int = 2000) -> list[tuple[int, int, str]]:
     """The weak candidates that have a complementary part in their scope."""
-    weak = sorted(weak_candidates(text))
+    weak = sorted(weak_candidates(text, strong))
     if not weak:
         return []
     ends = [m.start() for m in re.finditer("\n", text)]

@@ -147,6 +147,17 @@ def test_redaction():
     assert secret_scan.linked(weak, []) == []  # the parts stand in different scopes
 
 
+ACCESS, OPAQUE = "AK" + "IA" + "ABCDEFGHIJKLMNOP", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz9kQ2mLw8"
+
+
+def test_value_beside_an_access_key():
+    for t in (f"{ACCESS} {OPAQUE}", f"keys {ACCESS}: {OPAQUE}\n"):
+        spans = secret_scan.base_spans(t)
+        assert [t[a:b] for a, b, _ in secret_scan.linked(t, spans)] == [OPAQUE]
+        assert OPAQUE not in secret_scan.redacted(t, spans + secret_scan.linked(t, spans))
+    assert secret_scan.linked(f"alone {OPAQUE}", []) == []
+
+
 def test_pipeline(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

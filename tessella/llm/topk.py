@@ -74,6 +74,7 @@ class ImpactIndex:
         # a row's true product in a dimension is its impact plus a rest of at most `slack`
         slack = np.maximum(query, 0) * (self.step - 1)
         top = np.array([max((int(q) * int(h) * self.step for h in hs), default=0) if q else 0 for q, hs in zip(query, self.levels)], np.int64)
+        live = query != 0  # the other dimensions add nothing, also when the impact is negative
         both = np.zeros(n, np.int64)  # dimensions done, times _DONE, plus the score
         marks = {len(segments) * c // (checks + 1) for c in range(1, checks + 1)}
         everything = np.arange(n)
@@ -82,7 +83,7 @@ class ImpactIndex:
                 # rows of a dimension not yet done have at most `impact` there
                 score = ((both + _DONE // 2) & (_DONE - 1)) - _DONE // 2
                 done = (both - score) // _DONE
-                bound = score + np.minimum(top, impact).sum() - np.int64(impact) * done + slack.sum()
+                bound = score + np.minimum(top, impact)[live].sum() - np.int64(impact) * done + slack.sum()
                 likely = np.argpartition(-bound, min(n - 1, 4 * k))[: 4 * k + 1]
                 _, exact = self._best(query, likely, k, own)
                 if len(exact) == k:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import _encode, bpe_tree, fingerprint, language_id, ngram_join, packing, secret_scan, sharding, wavelet
+from tessella.llm import _encode, bpe_tree, fingerprint, language_id, ngram_join, packing, secret_scan, sharding, topk, wavelet
 from tessella.llm._graph import connected_components
 from test_contracts import brute_components
 
@@ -92,6 +92,19 @@ def test_tree(text, times, leaf):
 TREES: dict = {}
 
 
+@pytest.mark.parametrize("zeros", ["padded", "random"])
+def test_exact_search_with_zeros(zeros):
+    rnd = np.random.default_rng(3)
+    values = np.floor(32 * rnd.normal(size=(4000, 64))).astype(np.int64)
+    values = values * (np.arange(64) < 32) if zeros == "padded" else values * (rnd.random(values.shape) < 0.2)
+    index = topk.ImpactIndex(np.arange(4000), values)
+    for own in range(40):
+        scores = values @ values[own]
+        want = [j for j in np.lexsort((np.arange(4000), -scores)) if j != own][:5]
+        ids, got = index.search(values[own], 5, own)
+        assert ids.tolist() == want and got.tolist() == scores[want].tolist()
+
+
 def test_decoder_bad_utf8():
     tok, d = Tokenizer.from_file(BYTES), bpe_tree.Decoder(BYTES)
     ids = tok.encode("é\U0001f600 x", add_special_tokens=False).ids

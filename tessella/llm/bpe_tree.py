@@ -64,20 +64,32 @@ class TreeEncoder:
         return leaves[0] if leaves else []
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
-        """(is unsplit, byte characters) of long pre-tokens; (False, text) between them."""
+        """(is unsplit, byte characters) of long pre-tokens; (False, pre-tokens with spaces between them) of the others.
+
+        All are pre-tokens of the whole text: white space looks at what comes
+        after it, so a stretch cut out of the text has others.
+        """
         out: list[tuple[bool, str]] = []
         for part in self._special.split(text) if self._special else [text]:
             if part in self.pieces.special:
                 out.append((False, part))
                 continue
-            at = 0
-            for mapped, (start, end) in self.tok.pre_tokenizer.pre_tokenize_str(part):
+            usual: list[str] = []
+            for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(part):
                 if len(mapped) > self.leaf:
-                    out += [(False, part[at:start]), (True, mapped)]
-                    at = end
-            out.append((False, part[at:]))
+                    out += [(False, " ".join(usual)), (True, mapped)]
+                    usual = []
+                else:
+                    usual.append(mapped)
+            out.append((False, " ".join(usual)))
         return [x for x in out if x[1]]
 
+    def usual(self, part: str) -> list[int]:
+        """Ids of a part that is no unsplit text: a special token, or pre-tokens (no byte character is a space)."""
+        if part in self.pieces.special:
+            return [self.tok.token_to_id(part)]
+        return [i for x in part.split(" ") for i in self.model(x)]
+
     def leaves(self, mapped: str) -> list[str]:
         return [mapped[k : k + self.leaf] for k in range(0, len(mapped), self.leaf)]
 
@@ -85,7 +97,7 @@ class TreeEncoder:
         """The same within one process."""
         out: list[int] = []
         for unsplit, part in self.parts(text):
-            out += self.tree([self.model(x) for x in self.leaves(part)]) if unsplit else self.tok.encode(part, add_special_tokens=False).ids
+            out += self.tree([self.model(x) for x in self.leaves(part)]) if unsplit else self.usual(part)
         return out
 
 
@@ -147,7 +159,7 @@ def _encode_long(docs: DataFrame, path: str, leaf: int) -> DataFrame:
     def encode(batches):
         tree = TreeEncoder(path, leaf)
         for b in batches:
-            ids = [_packed(tree.model(x) if u else tree.tok.encode(x, add_special_tokens=False).ids) for u, x in zip(b.column("unsplit").to_pylist(), b.column("text").to_pylist())]
+            ids = [_packed(tree.model(x) if u else tree.usual(x)) for u, x in zip(b.column("unsplit").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary())], names=[*b.schema.names[:5], "ids"])
 
     def join(table: pa.Table) -> pa.Table:

@@ -92,6 +92,19 @@ def test_tree(text, times, leaf):
 TREES: dict = {}
 
 
+@pytest.mark.parametrize("space", ["\n\n", "\n", "  ", " ", "\t \n", "\u00a0\n"])
+def test_white_space_before_unsplit_text(space):
+    tree, long = bpe_tree.TreeEncoder(BYTES), "abcde" * 1000
+    for text in (f"a{space}{long}{space}b", f"{space}{long}{space}", f"a{space}<|endoftext|>{space}{long}{space}{long} c"):
+        assert any(unsplit for unsplit, _ in tree.parts(text)) and tree.encode(text) == tree.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_encode_white_space_before_unsplit_text(spark):
+    text = "a\n\n" + "abcde" * 1000 + "\n\nthe end"
+    have = bpe_tree.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), BYTES).collect()
+    assert np.frombuffer(have[0]["ids"], "<u4").tolist() == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("zeros", ["padded", "random"])
 def test_exact_search_with_zeros(zeros):
     rnd = np.random.default_rng(3)

@@ -2,11 +2,11 @@
 
 Strong findings stand alone: assignments to a secret-like name, access keys,
 long hexadecimal runs.  Weak candidates (identifiers, opaque values, endpoints)
-are intervals of the text; within one scope (a paragraph: text between line
-feeds, cut into windows of `scope_chars`) the intervals are joined in order of
-place, and a weak candidate is reported only if the scope also holds a
-complementary part: an identifier or endpoint beside an opaque value, an opaque
-value beside an identifier or endpoint.
+are intervals of the text, joined in order of place: a weak candidate is reported
+only if a complementary part stands in its scope, an identifier, endpoint or
+access key beside an opaque value, an opaque value, assignment or hexadecimal run
+beside an identifier or endpoint.  The scope of a candidate goes `scope_chars` to both sides,
+over its own line and the lines right before and after it; so an empty line ends it.
 
 Spans are in code points, the end exclusive.  Null text counts as empty: no
 spans, the digest of nothing.  Repeated rows each get their own answer; spans
@@ -63,23 +63,38 @@ def weak_candidates(text: str, strong: list[tuple[int, int, str]]) -> list[tuple
     return out
 
 
+#: Which kinds make a weak candidate of each kind reportable.
+PARTNERS = {"value": ("ident", "endpoint", "access"), "ident": ("value", "assign", "hex"), "endpoint": ("value", "assign", "hex")}
+
+
 def linked(text: str, strong: list[tuple[int, int, str]], scope_chars: int = 2000) -> list[tuple[int, int, str]]:
     """The weak candidates that have a complementary part in their scope."""
     weak = sorted(weak_candidates(text, strong))
     if not weak:
         return []
     ends = [m.start() for m in re.finditer("\n", text)]
-    scope = lambda at: ((k := bisect_right(ends, at)), (at - (ends[k - 1] + 1 if k else 0)) // scope_chars)
-    held: dict[tuple, set[str]] = {}
-    for start, _, kind in [*weak, *strong]:
-        held.setdefault(scope(start), set()).add(kind)
+    held: dict[str, list[tuple[int, int]]] = {}
+    for start, end, kind in sorted([*weak, *strong]):
+        held.setdefault(kind, []).append((start, end))
+
+    def near(a: tuple[int, int], b: tuple[int, int]) -> bool:
+        a, b = sorted((a, b))
+        return b[0] - a[1] <= scope_chars and bisect_right(ends, b[0]) - bisect_right(ends, a[0]) <= 1
+
+    def has_partner(span: tuple[int, int], kind: str) -> bool:
+        for other in PARTNERS[kind]:
+            # spans of one kind do not overlap: the neighbours on both sides are the nearest
+            parts = held.get(other, [])
+            i = bisect_right(parts, span)
+            if any(near(span, p) for p in parts[max(0, i - 1) : i + 1]):
+                return True
+        return False
+
     taken = sorted((s, e) for s, e, _ in strong)
     out = []
     for start, end, kind in weak:
-        there = held[scope(start)]
-        partner = there & ({"ident", "endpoint", "access"} if kind == "value" else {"value", "assign", "hex"})
         i = bisect_right(taken, (end, -1))
-        if partner and not (kind == "value" and i and taken[i - 1][1] > start):
+        if has_partner((start, end), kind) and not (kind == "value" and i and taken[i - 1][1] > start):
             out.append((start, end, kind))
     return out
 

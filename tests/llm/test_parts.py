@@ -184,6 +184,33 @@ def test_value_beside_an_access_key():
     assert secret_scan.linked(f"alone {OPAQUE}", []) == []
 
 
+@pytest.mark.parametrize("before", [0, 1, 1980, 1990, 2000, 3990, 4001])
+def test_scope_does_not_depend_on_the_place(before):
+    for gap, n in ((" ", 2), ("\n", 2), (" " * 1900, 2), (" " * 2000, 2), (" " * 2001, 0), ("\n\n", 0), ("\nx\n", 0)):
+        for parts in (("client_id=svc-main", OPAQUE), (OPAQUE, "client_id=svc-main")):
+            t = "." * before + " " + gap.join(parts)
+            n_here = n if parts[1] == OPAQUE or len(gap) < 1900 else None  # the key's name is no part of the span
+            got = secret_scan.linked(t, [])
+            assert n_here is None or len(got) == n_here
+
+
+def test_links_by_brute_force():
+    rnd = random.Random(5)
+    pieces = ["client_id=svc-main", OPAQUE, ACCESS, "https://api.example.org/v1", "token=abcdefgh", "0123456789abcdef" * 2, "word", "\n", "\n\n", " " * 30]
+    for _ in range(300):
+        t = " ".join(rnd.choice(pieces) for _ in range(12))
+        strong = secret_scan.base_spans(t)
+        weak = secret_scan.weak_candidates(t, strong)
+        line = lambda s: t.count("\n", 0, s[0])
+        want = set()
+        for w in weak:
+            for p in [*weak, *strong]:
+                if p[2] in secret_scan.PARTNERS[w[2]] and max(w[0], p[0]) - min((w, p))[1] <= 60 and abs(line(w) - line(p)) <= 1:
+                    want.add(w)
+        want = {w for w in want if w[2] != "value" or not any(s < w[1] and e > w[0] for s, e, _ in strong)}
+        assert set(secret_scan.linked(t, strong, 60)) == want
+
+
 def test_pipeline(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

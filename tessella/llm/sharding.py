@@ -7,6 +7,7 @@ is how many of its members each shard holds, so the state is one cell for each
 move towards the shard that holds most of their group and has room; the moves
 into a shard are taken in order of their gain until its quota is full, in
 sub-groups with shares of the quota so that no one task orders a shard's moves.
+Rounds go on until a round moves nothing.
 Unlinked documents have no say and fill what is left, so counts come out at
 most one apart (law `rows`).  Moves need room, which unlinked documents leave;
 where all documents are linked and all shards full, groups gather less.
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm import _common as C
 
-SHARDS, ROUNDS, SALTS = 40, 8, 16
+SHARDS, SALTS = 40, 16
 
 
 def _quota(label: F.Column, n: int, shards: int) -> F.Column:
@@ -49,16 +50,20 @@ def _round(cells: DataFrame, n: int, shards: int) -> DataFrame:
     return out.groupBy("key", "label").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def propagate(cells: DataFrame, n: int, shards: int, rounds: int) -> DataFrame:
-    """Rounds of moves until no group comes to stand in fewer shards."""
-    before = cells.count()
-    for _ in range(rounds):
+def propagate(cells: DataFrame, n: int, shards: int) -> DataFrame:
+    """Rounds of moves until none is left to make.
+
+    Every move goes to a cell at least as large, so the linked pairs that share
+    a shard (told by the sum of squares) only rise, and the rounds end.
+    """
+    squares = F.sum(F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
+    before = cells.agg(squares).first()[0]
+    while True:
         cells = C.stored(_round(cells, n, shards), "shard-cells")
-        now = cells.count()
-        if now >= before:
-            break
+        now = cells.agg(squares).first()[0]
+        if now == before:
+            return cells
         before = now
-    return cells
 
 
 def _kept(cells: DataFrame, n: int, shards: int) -> DataFrame:
@@ -72,7 +77,7 @@ def _kept(cells: DataFrame, n: int, shards: int) -> DataFrame:
     return cells.withColumn("before", before).join(F.broadcast(load.drop("load")), ["label", "salt"]).select("key", "label", F.greatest(F.lit(0), F.least("n", F.col("share") - F.col("before"))).alias("n")).where("n > 0")
 
 
-def shard_rows(docs: DataFrame, key: str, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(docs: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
     """docs with a column `key` whose equal values link rows; adds shard and slot.
 
     Counts differ by one at most; slots run from 0 without gaps in each shard.
@@ -83,7 +88,7 @@ def shard_rows(docs: DataFrame, key: str, shards: int = SHARDS, rounds: int = RO
         return docs.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     start = base.groupBy(F.col(key).alias("key"), F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     start = start.withColumn("_all", F.sum("n").over(Window.partitionBy("key"))).where("_all > 1").drop("_all")
-    kept = C.stored(_kept(propagate(C.stored(start, "shard-cells"), n, shards, rounds), n, shards), "shard-cells")
+    kept = C.stored(_kept(propagate(C.stored(start, "shard-cells"), n, shards), n, shards), "shard-cells")
     # of a group, ranks 0.. go to its cells in order; ranks beyond them go to the pool
     ends = kept.withColumn("_end", F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("n"), "label"))).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_end", "label"))).alias("_cells"))
     ranked = C.dealt_rank(base.select("_row", F.col(key).alias("key")), ["key"], ["_row"], "_rank")

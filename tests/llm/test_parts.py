@@ -159,6 +159,14 @@ def test_shards_with_a_hot_group(spark):
     assert sum(len(g) == 1 for g in small) >= 0.9 * len(small)
 
 
+def test_a_hot_group_converges(spark):
+    """A third of all rows has one text, in forty shards: rounds are needed for each shard it leaves."""
+    rows = [(i, "hot" if i % 3 == 0 else f"single{i}") for i in range(12000)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, key string"), "key").collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {300}
+    assert len({r["shard"] for r in got if r["key"] == "hot"}) <= 15  # 14 would hold it
+
+
 def test_backoff():
     m = language_id.LanguageModel(("a", "b"), {"word": 0}, np.log([[0.9, 0.1]]), {"xy": 0, "x": 1, "z": 2}, np.log([[0.2, 0.8], [0.5, 0.5], [0.9, 0.1]]), 4)
     s = language_id.Scorer(m)

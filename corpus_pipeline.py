@@ -24,24 +24,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where((F.col("_language.lang_pred") != language_id.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
-#: Dropped ids of at most this number (8 bytes each) are sent to every task; more are joined by a shuffle.
+#: Dropped rows' keys of at most this number (8 bytes each) are sent to every task; more are joined by a shuffle.
 MOST_SENT_IDS = 4_000_000
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id.
+    """One row of each group of near copies stays: the one of the smallest id, of equal ids any one.
 
-    Five-word shingles, similarity 0.8.  Of rows that share an id one stays, if
-    any of them stands for its group; rows without an id stay.
+    Five-word shingles, similarity 0.8.  Groups are made of rows, each under a
+    key of its own, not of ids: rows that share an id stay if their texts are no
+    near copies, and rows without an id (last in order) are dropped as others are.
+    Texts without words are copies of none and stay.
     """
-    told = C.stored(ngram_join.near_duplicates(docs, width=5, percent=80), "near-copies").where("doc_id is not null")
-    ids = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    ids = C.stored(ids.where("rows > 1 or not stays"), "near-copies")
-    gone = ids.where("not stays").select("doc_id")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT_IDS else gone, "doc_id", "left_anti")
-    if not ids.where("stays").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    rows = C.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    told = ngram_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    told = told.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    told = C.stored(told, "near-copies")
+    stays = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    gone = C.stored(told.select("_row").join(stays, "_row", "left_anti"), "near-copies")
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_SENT_IDS else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

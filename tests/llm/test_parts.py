@@ -236,3 +236,12 @@ def test_pipeline(spark, odd_dir):
     held = {r["doc_id"] for r in docs.collect()}
     assert held == {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, odd_dir).collect()}
     assert held and corpus_pipeline.run(spark, odd_dir).count() > 0
+
+
+def test_near_copies_are_rows_not_ids(spark):
+    a, b, c, d = (f[0] for f in (family(11, 1), family(12, 1), family(13, 1), family(14, 1)))
+    rows = [(1, a), (1, b), (1, c), (2, b), (None, d), (None, d), (None, d + " more"), (3, c), (0, c), (4, "short"), (4, "other"), (5, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    have = Counter(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    rest = Counter([(1, a), (1, b), (0, c), (4, "short"), (4, "other"), (5, ""), (5, None)])
+    assert have - rest in (Counter([(None, d)]), Counter([(None, d + " more")])) and not rest - have

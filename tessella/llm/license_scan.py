@@ -2,14 +2,14 @@
 
 Templates (base phrases and whole licence notices) are cut into words; postings
 hold, for each word, the templates and places where it stands.  A word's IDF
-comes from all documents.  A file's licence words of the highest IDF are looked
-up; each hit votes for (template, relative position), and the alignments with
-enough votes are verified: a base phrase word by word, a notice by its mandatory
+comes from all documents.  A template's own words of the highest IDF are looked
+up in a file; each hit is a (template, relative position), and these are
+verified: a base phrase word by word, a notice by its mandatory
 key phrases and by the share of its words that stand where they should.
 
-A base phrase's rarest word is looked up at every place it has, so no place of
-a base phrase is missed.  Notices use at most `rare` distinct words of a file,
-the rarest first; each of their places votes.
+A base phrase's rarest word is looked up at every place it has, and of a notice
+so many of its rarest words that none can lack them all and still have its
+share, so no place is missed, however long the file.
 
 Null text counts as empty: no words, no labels, score 0, null places.  Repeated
 rows each get their own answer; ties between words of equal IDF go to the
@@ -43,6 +43,8 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", ("redistribution and use in source and binary forms",)),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", ("mozilla public license",)),
 )
+#: The share of a notice's words, by IDF, that have to stand where they should.
+LEAST = 0.8
 #: ASCII letters and digits and all of UTF-8 beyond ASCII make words; A-Z are lower-cased.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -68,7 +70,8 @@ def templates() -> list[Template]:
 class Index:
     all: tuple[Template, ...]
     idf: dict[bytes, float]
-    postings: dict[bytes, tuple[tuple[int, int], ...]]  # of notices
+    whole: tuple[float, ...]  # the IDF of a template's words
+    postings: dict[bytes, tuple[tuple[int, int], ...]]  # of notices, at their rarest words
     anchors: dict[bytes, tuple[tuple[int, int], ...]]  # of base phrases, at their rarest word
 
 
@@ -77,6 +80,7 @@ def build_index(frequency: dict[bytes, int], n_docs: int, found: list[Template]
     found = found or templates()
     vocabulary = {w for t in found for w in t.words}
     idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary}
+    whole = [sum(idf[w] for w in t.words) for t in found]
     postings: dict[bytes, list] = {}
     anchors: dict[bytes, list] = {}
     for i, t in enumerate(found):
@@ -84,17 +88,22 @@ def build_index(frequency: dict[bytes, int], n_docs: int, found: list[Template]
             at = min(range(len(t.words)), key=lambda j: (-idf[t.words[j]], t.words[j]))
             anchors.setdefault(t.words[at], []).append((i, at))
         else:
-            for at, w in enumerate(t.words):
-                postings.setdefault(w, []).append((i, at))
+            # what stands without any of these words lacks more than a notice may lack
+            looked_up = 0.0
+            for at in sorted(range(len(t.words)), key=lambda j: (-idf[t.words[j]], t.words[j], j)):
+                postings.setdefault(t.words[at], []).append((i, at))
+                looked_up += idf[t.words[at]]
+                if looked_up > (1 - LEAST + 1e-9) * whole[i]:
+                    break
     freeze = lambda d: {k: tuple(v) for k, v in d.items()}
-    return Index(tuple(found), idf, freeze(postings), freeze(anchors))
+    return Index(tuple(found), idf, tuple(whole), freeze(postings), freeze(anchors))
 
 
 def _stands(words: list[bytes], at: int, phrase: tuple[bytes, ...]) -> bool:
     return at >= 0 and tuple(words[at : at + len(phrase)]) == phrase
 
 
-def scan(words: list[bytes], index: Index, rare: int = 24, least: float = 0.8) -> dict:
+def scan(words: list[bytes], index: Index) -> dict:
     """Base places (start, template), labels and score of one file's words."""
     base: list[tuple[int, int]] = []
     labels: set[str] = set()
@@ -109,21 +118,14 @@ def scan(words: list[bytes], index: Index, rare: int = 24, least: float = 0.8) -
                 for t, at in where:
                     if _stands(words, i - at, index.all[t].words):
                         base.append((i - at, t))
-        votes: Counter = Counter()
-        for w in sorted((w for w in places if w in index.postings), key=lambda w: (-index.idf[w], w))[:rare]:
-            for t, at in index.postings[w]:
-                for i in places[w]:
-                    votes[t, i - at] += index.idf[w]
-        whole = [sum(index.idf[w] for w in t.words) for t in index.all]
-        for (t, start), got in votes.items():
-            if got < 0.5 * whole[t]:
-                continue
+        candidates = {(t, i - at) for w, where in index.postings.items() for i in places.get(w, ()) for t, at in where}
+        for t, start in candidates:
             found = index.all[t]
             matched = sum(index.idf[w] for j, w in enumerate(found.words) if 0 <= start + j < len(words) and words[start + j] == w)
             near = range(max(0, start - 4), min(len(words), start + len(found.words) + 4))
-            if matched >= least * whole[t] and all(any(_stands(words, i, k) for i in near) for k in found.keys):
+            if matched >= LEAST * index.whole[t] and all(any(_stands(words, i, k) for i in near) for k in found.keys):
                 labels.add(found.label)
-                best = max(best, min(1.0, matched / whole[t]))
+                best = max(best, min(1.0, matched / index.whole[t]))
     own = {index.all[t].label for _, t in base}
     starts = [i for i, _ in base]
     return {"n_base": len(base), "first": min(starts, default=None), "last": max(starts, default=None), "base_labels": sorted(own), "labels": sorted(labels | own), "score": max(best, 1.0 if own else 0.0), "places": sorted(base)}
@@ -148,7 +150,7 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[byte
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places string"
 
 
-def scan_licenses(docs: DataFrame, rare: int = 24) -> DataFrame:
+def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text.  places: start:label of every base place."""
     frequency, n = word_frequencies(docs, {w for t in templates() for w in t.words})
     told = docs.sparkSession.sparkContext.broadcast(build_index(frequency, n))  # the templates' words
@@ -159,7 +161,7 @@ def scan_licenses(docs: DataFrame, rare: int = 24) -> DataFrame:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), C.column_bytes(b, "text")):
                 words = words_of(text)
-                x = scan(words, index, rare)
+                x = scan(words, index)
                 rows.append((doc_id, len(words), x["n_base"], x["first"], x["last"], ",".join(x["base_labels"]), ",".join(x["labels"]), x["score"], ",".join(f"{i}:{index.all[t].label}" for i, t in x["places"])))
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]

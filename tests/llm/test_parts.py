@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import _encode, bpe_tree, fingerprint, language_id, ngram_join, packing, secret_scan, sharding, topk, wavelet
+from tessella.llm import _encode, bpe_tree, fingerprint, language_id, license_scan, ngram_join, packing, secret_scan, sharding, topk, wavelet
 from tessella.llm._graph import connected_components
 from test_contracts import brute_components
 
@@ -245,3 +245,43 @@ def test_near_copies_are_rows_not_ids(spark):
     have = Counter(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     rest = Counter([(1, a), (1, b), (0, c), (4, "short"), (4, "other"), (5, ""), (5, None)])
     assert have - rest in (Counter([(None, d)]), Counter([(None, d + " more")])) and not rest - have
+
+
+def test_notice_in_a_file_of_many_licence_words():
+    """A notice of frequent words is found beside more than 24 rarer licence words."""
+    everything = [w for t in license_scan.templates() for w in t.words]
+    notice = b"licensed under cc by 4 0".split()
+    frequency = {w: 900 if w in notice else 3 for w in everything}
+    index = license_scan.build_index(frequency, 1000)
+    rest = sorted(set(everything) - set(notice))
+    assert len(rest) > 24
+    assert license_scan.scan([*rest, b"end", *notice], index)["labels"] == ["cc-by", "cc-by-4.0"]
+    assert license_scan.scan([*notice, b"end", *rest, b"end"] * 30, index)["labels"] == ["cc-by", "cc-by-4.0"]
+
+
+def test_notices_by_brute_force():
+    rnd = random.Random(7)
+    found = license_scan.templates()
+    everything = sorted({w for t in found for w in t.words})
+    for _ in range(150):
+        index = license_scan.build_index({w: rnd.randrange(1000) for w in everything}, 1000)
+        words = []
+        for _ in range(rnd.randrange(1, 8)):
+            part = list(rnd.choice(found).words)
+            for _ in range(rnd.randrange(3)):
+                part[rnd.randrange(len(part))] = rnd.choice([b"other", rnd.choice(everything)])
+            words += part[rnd.randrange(2) :] + rnd.choices(everything, k=rnd.randrange(20))
+        labels, best = set(), 0.0
+        for t in found:
+            whole = sum(index.idf[w] for w in t.words)
+            for start in range(-len(t.words), len(words)):
+                here = sum(index.idf[w] for j, w in enumerate(t.words) if 0 <= start + j < len(words) and words[start + j] == w)
+                ends = range(max(0, start - 4), min(len(words), start + len(t.words) + 4))
+                if t.base and start >= 0 and tuple(words[start : start + len(t.words)]) == t.words:
+                    labels.add(t.label)
+                    best = 1.0
+                elif not t.base and here >= 0.8 * whole and all(any(tuple(words[i : i + len(k)]) == k for i in ends) for k in t.keys):
+                    labels.add(t.label)
+                    best = max(best, min(1.0, here / whole))
+        got = license_scan.scan(words, index)
+        assert got["labels"] == sorted(labels) and abs(got["score"] - best) < 1e-9

@@ -47,6 +47,12 @@ def partitions_for(spark: SparkSession, n_bytes: int, per: int = 32 << 20) -> in
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimiser expects df to have, from the sizes of its files; nothing is read.  0 if it does not know."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return told if told < 1 << 55 else 0
+
+
 def dealt_rank(df: DataFrame, keys: list[str], order: list, name: str, salts: int = 64) -> DataFrame:
     """A gapless rank from 0 within `keys`, however large one key is.
 

@@ -1,20 +1,24 @@
 """BPE encoding and decoding; long unsplit text by tree concatenation.
 
-Usual text is encoded piece by piece.  A pre-token of more than `leaf` bytes is
-unsplit text: it is cut into leaves, which Spark encodes in parallel, and the
-halves are then joined as a tree.  At a join a window of ids on both sides is
-encoded anew and grows until its first id is the left side's and its last id the
-right side's; all neighbouring ids are then a pair that BPE itself would leave
-apart, which makes the sequence the encoding of the whole.
+Usual text is encoded word by word.  A pre-token of more than `leaf` bytes is
+unsplit text: it is cut into leaves, which Spark deals out and encodes in
+parallel, and neighbouring runs of ids are then joined as a tree, in rounds that
+each join `FAN` runs in one group, so that one huge text is many tasks up to its
+last round.  At a join a window of ids on both sides is encoded anew and grows
+until its first id is the left side's and its last id the right side's; all
+neighbouring ids are then a pair that BPE itself would leave apart, which makes
+the sequence the encoding of the whole.
 
 Null text counts as empty: no ids, the digests of nothing.  Repeated rows each
-get their own answer; of other columns nothing is read.
+get their own answer, also under one id; an empty table gives no rows; a very
+long text costs memory in proportion to itself in the task that reads it and in
+the last round; of other columns nothing is read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import _common as C
-from tessella.llm._encode import PieceEncoder, chunks_of, shared_encoder
+from tessella.llm._encode import PieceEncoder, slices_of
 
-LEAF = 4096
+#: Bytes of a leaf, and runs that one group of a round joins.
+LEAF, FAN = 4096, 16
 
 
 def byte_characters() -> list[str]:
@@ -36,8 +41,8 @@ def byte_characters() -> list[str]:
 
 
 class TreeEncoder:
-    def __init__(self, path: str, leaf: int = LEAF):
-        self.pieces = PieceEncoder(path)
+    def __init__(self, path: str, leaf: int = LEAF, pieces: PieceEncoder | None = None):
+        self.pieces = pieces or PieceEncoder(path)
         self.tok, self.leaf = self.pieces.tok, leaf
         self.token = [""] * (max(self.tok.get_vocab().values()) + 1)
         for text, i in self.tok.get_vocab().items():
@@ -104,96 +109,161 @@ class TreeEncoder:
 class Decoder:
     """decode(ids, skip_special_tokens=False), from the tokens' bytes."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+    def __init__(self, tok):
         byte = {c: b for b, c in enumerate(byte_characters())}
         special = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
-        self.bytes = [b""] * (max([*tok.get_vocab(with_added_tokens=True).values()]) + 1)
+        raw = [b""] * (max([*tok.get_vocab(with_added_tokens=True).values()]) + 1)
         for text, i in tok.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = special[i].encode() if i in special else bytes(byte[c] for c in text)
+            raw[i] = special[i].encode() if i in special else bytes(byte[c] for c in text)
+        self.bytes = pa.array(raw, pa.binary())
 
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 of the text; what is no UTF-8 becomes U+FFFD."""
-        raw = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.decode("utf-8", "replace").encode()
+    def decode(self, ids: np.ndarray, start: np.ndarray) -> list[bytes]:
+        """UTF-8 of the text of each ids[start[i] : start[i + 1]]; what is no UTF-8 becomes U+FFFD."""
+        found = self.bytes.take(pa.array(ids))
+        ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+        data = memoryview(found.buffers()[2] or b"")
+        return [str(data[i:j], "utf-8", "replace").encode() for i, j in zip(ends[start[:-1]].tolist(), ends[start[1:]].tolist())]
 
 
-ENCODED = "doc_id long, ids binary"
+class Both:
+    """Encoder, tree and decoder of a worker, over one tokenizer."""
 
+    def __init__(self, path: str, leaf: int):
+        self.encoder = PieceEncoder(path)
+        self.tree = TreeEncoder(path, leaf, self.encoder)
+        self._decoder: Decoder | None = None
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    @property
+    def decoder(self) -> Decoder:
+        if self._decoder is None:
+            self._decoder = Decoder(self.encoder.tok)
+        return self._decoder
 
 
-def _arrays(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "ids"])
+def _both(path: str, leaf: int = LEAF) -> Both:
+    return C.kept(("tree", path, leaf), lambda: Both(path, leaf))
 
 
-def _encode_usual(docs: DataFrame, path: str) -> DataFrame:
-    def run(batches):
-        encoder = shared_encoder(path)
-        for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), C.column_texts(b, "text")
-            for first, some in chunks_of(texts):
-                yield _arrays(list(zip(keys[first:], encoder.encode_many(some))))
+PARTS = "row long, doc_id long, part int, leaf int, unsplit boolean, text string, ids binary"
+RUNS = "row long, doc_id long, part int, leaf int, unsplit boolean, ids binary"
+ENCODED = "row long, doc_id long, ids binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
-    return docs.mapInArrow(run, ENCODED)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
-def _encode_long(docs: DataFrame, path: str, leaf: int) -> DataFrame:
-    """Parts and leaves as rows of their own, dealt out anew; joined document by document."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cut = "row long, doc_id long, part int, leaf int, unsplit boolean, text string"
-    done = "row long, doc_id long, part int, leaf int, unsplit boolean, ids binary"
 
-    def split(batches):
-        tree = TreeEncoder(path, leaf)
-        for b in batches:
-            for row, doc_id, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), C.column_texts(b, "text")):
-                rows = [(row, doc_id, k, i, u, x) for k, (u, part) in enumerate(tree.parts(text)) for i, x in enumerate(tree.leaves(part) if u else [part])]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in cut.split(", ")])
+def _packed(ids) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
 
-    def encode(batches):
-        tree = TreeEncoder(path, leaf)
+def _unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
+
+
+def parts_of(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """docs: row, doc_id, text.  One pass: a row with the ids of each usual text (part -1),
+    and of any other its parts in order, leaves of unsplit ones still as text."""
+
+    def run(batches):
+        both = _both(path, leaf)
+        for b in batches:
+            rows_, keys, at = b.column("row").to_pylist(), b.column("doc_id").to_pylist(), 0
+            for texts in slices_of(b.column("text")):
+                ids, long = both.encoder.encode(texts, leaf)
+                out = []
+                for k, is_long in enumerate(long.tolist()):
+                    row, doc_id = rows_[at + k], keys[at + k]
+                    if not is_long:
+                        out.append((row, doc_id, -1, 0, False, None, ids.flat[ids.start[k] : ids.start[k + 1]].astype("<u4").tobytes()))
+                        continue
+                    for j, (unsplit, part) in enumerate(both.tree.parts(texts[k].as_py())):
+                        if unsplit:
+                            out += [(row, doc_id, j, i, True, x, None) for i, x in enumerate(both.tree.leaves(part))]
+                        else:
+                            out.append((row, doc_id, j, 0, False, None, _packed(both.tree.usual(part))))
+                at += len(texts)
+                yield _batch(out, PARTS)
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, PARTS)
+
+
+def _joined_leaves(leaves: DataFrame, path: str, leaf: int, fan: int) -> DataFrame:
+    """RUNS of one row for each unsplit part, by rounds of joins."""
+
+    def first(batches):
+        tree = _both(path, leaf).tree
         for b in batches:
-            ids = [_packed(tree.model(x) if u else tree.usual(x)) for u, x in zip(b.column("unsplit").to_pylist(), b.column("text").to_pylist())]
+            ids = [_packed(tree.model(x)) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary())], names=[*b.schema.names[:5], "ids"])
 
     def join(table: pa.Table) -> pa.Table:
-        tree, parts = TreeEncoder(path, leaf), {}
-        rows = table.sort_by([("part", "ascending"), ("leaf", "ascending")]).to_pylist()
-        for r in rows:
-            parts.setdefault(r["part"], []).append(np.frombuffer(r["ids"], "<u4").tolist())
-        return pa.Table.from_batches([_arrays([(rows[0]["doc_id"], _packed([i for p in parts.values() for i in tree.tree(p)]))])])
+        tree, rows = _both(path, leaf).tree, table.sort_by([("leaf", "ascending")]).to_pylist()
+        ids = tree.tree([_unpacked(r["ids"]) for r in rows])
+        return pa.Table.from_batches([_batch([(rows[0]["row"], rows[0]["doc_id"], rows[0]["part"], rows[0]["leaf"] // fan, True, _packed(ids))], RUNS)])
 
-    leaves = keyed.mapInArrow(split, cut).repartition("row", "part", "leaf").mapInArrow(encode, done)
-    return leaves.groupBy("row").applyInArrow(join, ENCODED)
+    most = leaves.agg(F.max("leaf")).first()[0]
+    out = leaves.repartition("row", "part", "leaf").select("row", "doc_id", "part", "leaf", "unsplit", "text").mapInArrow(first, RUNS)
+    while most:
+        out = out.withColumn("_group", F.expr(f"leaf div {fan}")).groupBy("row", "part", "_group").applyInArrow(join, RUNS)
+        most //= fan
+    return out
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """docs: doc_id, text.  doc_id and ids, little-endian unsigned 32-bit."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    quarter = leaf // 4  # a character has up to four bytes
-    long = F.col("text").rlike(f"[^ ]{{{quarter}}}|\\s{{{quarter}}}")
-    return _encode_usual(docs.where(~long), path).unionByName(_encode_long(docs.where(long), path, leaf))
+def encode(docs: DataFrame, path: str, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """docs: doc_id, text.  row (one for each document), doc_id and ids, little-endian unsigned 32-bit."""
+    parts = C.stored(parts_of(docs.withColumn("row", F.monotonically_increasing_id()), path, leaf), "bpe-parts")
+    done, cut = parts.where("part < 0").select("row", "doc_id", "ids"), parts.where("part >= 0")
+    if cut.isEmpty():
+        return done
+    others, leaves = cut.where("not unsplit").drop("text"), cut.where("unsplit")
+    runs = others if leaves.isEmpty() else others.unionByName(C.stored(_joined_leaves(leaves, path, leaf, fan), "bpe-runs"))
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("part", "ascending")]).to_pylist()
+        return pa.Table.from_batches([_batch([(rows[0]["row"], rows[0]["doc_id"], b"".join(r["ids"] for r in rows))], ENCODED)])
+
+    return done.unionByName(runs.groupBy("row").applyInArrow(whole, ENCODED))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the decoded text's UTF-8."""
+    """encoded: row, doc_id, ids.  The same with the decoded text's UTF-8."""
+
+    def run(batches):
+        decoder = _both(path).decoder
+        for b in batches:
+            for ids, texts, part in _decoded(b, decoder):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
+
+    return encoded.select("row", "doc_id", "ids").mapInArrow(run, f"{ENCODED}, decoded binary")
+
+
+def _decoded(batch: pa.RecordBatch, decoder: Decoder, rows: int = 500):
+    """For slices of a batch: the ids of each row as bytes, the decoded texts, the slice."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        ids = part.column("ids").to_pylist()
+        start = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+        yield ids, decoder.decode(np.frombuffer(b"".join(ids), "<u4"), start), part
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded: row, doc_id, ids.  doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches):
-        decoder = Decoder(path)
+        decoder = _both(path).decoder
         for b in batches:
-            ids = b.column("ids")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(map(decoder.decode, ids.to_pylist()), pa.binary())], names=["doc_id", "ids", "decoded"])
+            for ids, texts, part in _decoded(b, decoder):
+                yield _batch(list(zip(part.column("doc_id").to_pylist(), [len(x) // 4 for x in ids], map(sha, ids), map(sha, texts))), schema)
 
-    return encoded.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("row", "doc_id", "ids").mapInArrow(run, schema)
 
 
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(C.read(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(encode(C.read(spark, sf_dir, "documents"), path), path)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import _common as C
-from tessella.llm._encode import chunks_of, shared_encoder
+from tessella.llm._encode import shared_encoder, slices_of
 
 LIMIT, END_ID = 2048, 1
 
@@ -101,21 +101,24 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pieces_of(docs: DataFrame, path: str, style: str, end_id: int, limit: int) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its length in its task."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches):
         encoder, seen, task = shared_encoder(path, style), Counter(), TaskContext.get().partitionId()
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), C.column_texts(b, "text")
-            for first, some in chunks_of(texts):
+            keys, at = b.column("doc_id").to_pylist(), 0
+            for texts in slices_of(b.column("text")):
+                ids, _ = encoder.encode(texts)
                 rows = []
-                for doc_id, body in zip(ids[first:], encoder.encode_many(some)):
-                    raw = body + end
+                for k, doc_id in enumerate(keys[at : at + len(texts)]):
+                    raw = memoryview(np.concatenate((ids.flat[ids.start[k] : ids.start[k + 1]], end)).astype("<u4").tobytes())
                     n = len(raw) // 4
                     for start, length in cuts(n, limit):
                         rows.append((doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, task, seen[length]))
                         seen[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))], names=[c.split()[0] for c in PIECES.split(", ")])
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -12,8 +12,9 @@ length.  A file is written by Spark as a Parquet file of one row, so that any
 store works and a lost task is simply written again.
 
 Null text counts as empty: the end id alone.  Repeated doc_ids stand together,
-ordered by text; null ids come first; an empty table gives no files; of other
-columns nothing is read.
+ordered by a hash of their text and the text; null ids come first; a very long
+text is a shard of its own; an empty table gives no files; of other columns
+nothing is read.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import _common as C
-from tessella.llm._encode import chunks_of, shared_encoder
+from tessella.llm._encode import shared_encoder, slices_of
 
-SHARD_IDS, BLOCK, END_ID = 1 << 20, 512, 0
+#: Ids of a shard, bits between two ranks, bytes of a plane that are compressed together.
+SHARD_IDS, BLOCK, FILE_BLOCK, END_ID = 1 << 20, 512, 1 << 14, 0
 _HEAD = struct.Struct("<4sIQQ")  # name, bits, ids, documents
 
 
@@ -122,7 +124,7 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         below = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(np.asarray(self.planes[level]), count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             here = np.empty(self.n, kind)
             here[~bit] = below[:z]
@@ -131,24 +133,61 @@ class WaveletMatrix:
         return below
 
     def to_bytes(self, lengths: np.ndarray) -> bytes:
-        """The file: head, zeros, document lengths, rank directories, planes; all after the head compressed."""
-        body = [np.array(self.zeros, "<u8").tobytes(), lengths.astype("<u4").tobytes(), *(r.astype("<u4").tobytes() for r in self.ranks), *(p.tobytes() for p in self.planes)]
-        return _HEAD.pack(b"TWM1", self.bits, self.n, len(lengths)) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+        """The file: head, sizes of what follows, then the compressed directory (zeros,
+        document lengths, ranks) and the planes in blocks compressed one by one."""
+        directory = [np.array(self.zeros, "<u8").tobytes(), lengths.astype("<u4").tobytes(), *(r.astype("<u4").tobytes() for r in self.ranks)]
+        press = zstandard.ZstdCompressor(level=1).compress
+        packed = [press(b"".join(directory)), *(press(p[at : at + FILE_BLOCK].tobytes()) for p in map(np.asarray, self.planes) for at in range(0, len(p), FILE_BLOCK))]
+        sizes = np.array([len(x) for x in packed], "<u4")
+        return _HEAD.pack(b"TWM2", self.bits, self.n, len(lengths)) + sizes.tobytes() + b"".join(packed)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> tuple[WaveletMatrix, np.ndarray]:
+        """The matrix of a file, and its documents' lengths; planes are unpacked block by block, when they are asked for."""
         name, bits, n, docs = _HEAD.unpack_from(raw)
-        if name != b"TWM1":
+        if name != b"TWM2":
             raise ValueError("not a wavelet file")
-        body = zstandard.ZstdDecompressor().decompress(raw[_HEAD.size :])
         size = -(-n // 8)
         size += -size % 64
-        at = 8 * bits + 4 * docs
+        per = -(-size // FILE_BLOCK)
+        sizes = np.frombuffer(raw, "<u4", 1 + per * bits, _HEAD.size)
+        ends = _HEAD.size + sizes.nbytes + np.cumsum(sizes, dtype=np.int64)
+        starts = (ends - sizes).tolist()
+        body = zstandard.ZstdDecompressor().decompress(raw[starts[0] : starts[0] + int(sizes[0])])
         zeros, lengths = np.frombuffer(body, "<u8", bits), np.frombuffer(body, "<u4", docs, 8 * bits)
-        each = size * 8 // BLOCK + 1
+        at, each = 8 * bits + 4 * docs, size * 8 // BLOCK + 1
         ranks = [np.frombuffer(body, "<u4", each, at + 4 * each * k) for k in range(bits)]
-        at += 4 * each * bits
-        return cls(n, bits, [np.frombuffer(body, np.uint8, size, at + size * k) for k in range(bits)], zeros.tolist(), ranks), lengths
+        spans = list(zip(starts[1:], ends[1:].tolist()))
+        return cls(n, bits, [PackedPlane(raw, size, spans[per * k : per * (k + 1)]) for k in range(bits)], zeros.tolist(), ranks), lengths
+
+
+class PackedPlane:
+    """A plane of a file: bytes in blocks, each unpacked when first asked for."""
+
+    def __init__(self, raw: bytes, size: int, spans: list[tuple[int, int]]):
+        self.raw, self.size, self.spans = raw, size, spans
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _block(self, i: int) -> np.ndarray:
+        if i not in self.blocks:
+            a, b = self.spans[i]
+            self.blocks[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.raw[a:b]), np.uint8)
+        return self.blocks[i]
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self._block(at // FILE_BLOCK)[at % FILE_BLOCK]
+        start, stop, _ = at.indices(self.size)
+        parts = [self._block(i)[max(0, start - i * FILE_BLOCK) : stop - i * FILE_BLOCK] for i in range(start // FILE_BLOCK, -(-stop // FILE_BLOCK))] if stop > start else []
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+    def __array__(self, dtype=None, copy=None):
+        """The whole plane; nothing of it is kept."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        return np.frombuffer(b"".join(unpack(self.raw[a:b]) for a, b in self.spans), np.uint8)
 
 
 SHARDS = "task int, shard int, first_id long, n_ids long, doc_ids binary, file binary"
@@ -156,38 +195,44 @@ SHARDS = "task int, shard int, first_id long, n_ids long, doc_ids binary, file b
 
 def write_shards(docs: DataFrame, path: str, style: str = "byte_level", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """docs: doc_id, text.  The table of shard files; first_id counts the ids before it in its task."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
     names = [c.split()[0] for c in SHARDS.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         encoder, task = shared_encoder(path, style), TaskContext.get().partitionId()
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[int] = []
         doc_ids: list[int | None] = []
         shard, done, held = 0, 0, 0
 
         def close():
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
             keys = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64())], names=["doc_id"])
-            row = [task, shard, done, len(flat), keys.serialize().to_pybytes(), WaveletMatrix.build(flat).to_bytes(lengths)]
+            file = WaveletMatrix.build(np.concatenate(ids)).to_bytes(np.array(lengths))
+            row = [task, shard, done, held, keys.serialize().to_pybytes(), file]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, types)], names=names)
 
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), C.column_texts(b, "text")
-            for first, some in chunks_of(texts):
-                for doc_id, body in zip(keys[first:], encoder.encode_many(some)):
-                    ids.append(body + end)
+            keys, at = b.column("doc_id").to_pylist(), 0
+            for texts in slices_of(b.column("text")):
+                got, _ = encoder.encode(texts)
+                for k, doc_id in enumerate(keys[at : at + len(texts)]):
+                    ids += [got.flat[got.start[k] : got.start[k + 1]], end]
+                    lengths.append(int(got.start[k + 1] - got.start[k]) + 1)
                     doc_ids.append(doc_id)
-                    held += len(ids[-1]) // 4
+                    held += lengths[-1]
                     if held >= shard_ids:
                         yield close()
                         shard, done, held = shard + 1, done + held, 0
-                        ids, doc_ids = [], []
+                        ids, lengths, doc_ids = [], [], []
+                at += len(texts)
         if ids:
             yield close()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id are dealt on by a hash of their text, so that an id that many rows have is no single task
+    n = C.partitions_for(docs.sparkSession, C.planned_bytes(docs), 256 << 20)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    dealt = keyed.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
     return C.stored(dealt.mapInArrow(run, SHARDS), "wavelet", max_records=1)
 
 

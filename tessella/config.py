@@ -28,6 +28,12 @@ class PipelineConfig:
     offset: str = "slide_ncc"
     vote: str = "sum"
     segment_top_k: int = 100
+    neighbours: int = 4
+    order: int = 1
+    centroid_frequencies: int = 4
+    centroid_weight: float = 0.0
+    context_frequencies: int = 2
+    context_weight: float = 0.0
     sub_sample_db: int = 1
     sub_sample_queries: int = 1
     thresholds: tuple[int, ...] = (16, 32, 64)
@@ -38,7 +44,7 @@ class PipelineConfig:
         for name, allowed in (("aggregation", AGGREGATIONS), ("matcher", MATCHERS), ("offset", OFFSETS), ("vote", VOTES)):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name}: {getattr(self, name)!r} is none of {', '.join(allowed)}")
-        for name in ("num_clusters", "coarse_top_k", "top_m", "segment_top_k", "sub_sample_db", "sub_sample_queries"):
+        for name in ("num_clusters", "coarse_top_k", "top_m", "segment_top_k", "neighbours", "order", "centroid_frequencies", "context_frequencies", "sub_sample_db", "sub_sample_queries"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
 

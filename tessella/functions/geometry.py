@@ -126,6 +126,26 @@ def latlon_grid(spark: SparkSession, lat: float, lon: float, rows: int, cols: in
     return g.select("i", "j", F.round(F.lit(lat) + F.col("i") * d, 6).alias("lat"), F.round(F.lit(lon) + F.col("j") * d / F.cos(F.radians(F.lit(lat))), 6).alias("lon"))
 
 
+def centered_lattice(spark: SparkSession, lat: float, lon: float, rows: int, cols: int, step_m: float) -> DataFrame:
+    """i, j, lat, lon of a lattice around its middle; each row's step of longitude follows its own (rounded) latitude."""
+    g = spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("j"))
+    d = step_m / 111000
+    at = g.withColumn("lat", F.round(F.lit(lat) + (F.col("i") - (rows - 1) / 2) * d, 6))
+    return at.withColumn("lon", F.round(F.lit(lon) + (F.col("j") - (cols - 1) / 2) * d / F.cos(F.radians("lat")), 6))
+
+
+def footprints(points: DataFrame, width_m: float, height_m: float, width_px: int, height_px: int) -> DataFrame:
+    """points: lat, lon.  With the middles of the four sides of an image of that size, and degrees for each pixel."""
+    shrink = F.cos(F.radians("lat"))
+    half_lat, half_lon = height_m / (2 * 111000), F.lit(width_m / (2 * 111000)) / shrink
+    return points.select(
+        *points.columns,
+        F.round(F.col("lon") - half_lon, 9).alias("left_lon"), F.round(F.col("lon") + half_lon, 9).alias("right_lon"),
+        F.round(F.col("lat") + half_lat, 9).alias("top_lat"), F.round(F.col("lat") - half_lat, 9).alias("bottom_lat"),
+        F.round(F.lit(width_m / (width_px * 111000)), 12).alias("lat_per_pixel"), F.round(F.lit(height_m / (height_px * 111000)) / shrink, 12).alias("lon_per_pixel"),
+    )
+
+
 def resize_longest(h: Column, w: Column, target: int) -> tuple[Column, Column]:
     scale = F.lit(float(target)) / F.greatest(h, w)
     return F.floor(h * scale + 0.5).cast("long"), F.floor(w * scale + 0.5).cast("long")

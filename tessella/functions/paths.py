@@ -11,6 +11,29 @@ def resolve_path(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))
 
 
+def real_path(path: Column) -> Column:
+    """The path without `.`, `..` and doubled slashes; links are not followed, for paths may be in any store."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    step = lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+# Keys of an item's metadata that hold paths of masks.
+MASK_PATH_KEYS = ("mask_path", "masks_path", "segmentation_path", "segmentations_path")
+
+
+def resolve_metadata(metadata: Column, root: str) -> Column:
+    """A map of strings whose mask paths are resolved below root."""
+    fixed = lambda k, v: F.when(k.isin(*MASK_PATH_KEYS) & ~v.startswith("/"), real_path(resolve_path(v, root))).otherwise(v)
+    return F.transform_values(metadata, fixed)
+
+
+def safe_id(text: Column) -> Column:
+    """An id that can be a file name: anything but letters, digits, dot, dash and underscore becomes an underscore."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
+
+
 def relpath_suffix(path: Column, parts: int = 2) -> Column:
     """The last parts of a path (all, if it has fewer)."""
     split = F.split(path, "/")
@@ -35,10 +58,21 @@ def parse_size(size: Column) -> tuple[Column, Column]:
     return F.trim(parts[0]).cast("int"), F.trim(parts[1]).cast("int")
 
 
+def checked_size(h: Column, w: Column, expected: tuple[int, int] | None = None, parts_of: tuple[int, int] | None = None) -> Column:
+    """True, or an error: a size that differs from the one expected, or that does not divide evenly."""
+    ok = F.lit(True)
+    if expected is not None:
+        ok = ok & (h == expected[0]) & (w == expected[1])
+    if parts_of is not None:
+        ok = ok & (F.lit(parts_of[0]) % h == 0) & (F.lit(parts_of[1]) % w == 0)
+    told = F.concat(F.lit("size mismatch: "), h.cast("string"), F.lit("x"), w.cast("string"))
+    return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+
+
 def natural_key(name: Column, width: int = 12) -> Column:
     """A sort key that compares runs of digits as numbers."""
     marked = F.regexp_replace(name, r"(\d+)", "\u0001$1\u0001")
-    padded = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, width, "0")).otherwise(p))
+    padded = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(r"^\d+$") & (F.length(p) < width), F.lpad(p, width, "0")).otherwise(p))
     return F.array_join(padded, "")
 
 

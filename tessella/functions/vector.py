@@ -27,7 +27,7 @@ def norm(v: Column) -> Column:
 
 
 def scaled(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x * by)
+    return F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, b: x * b)
 
 
 def l2_normalize(v: Column, eps: float = EPS) -> Column:

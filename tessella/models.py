@@ -81,9 +81,35 @@ def extract(images: DataFrame, name: str, **options) -> DataFrame:
     return images.mapInPandas(run, "image_idx long, p long, row long, col long, desc array<double>")
 
 
+def resize_position_table(table: np.ndarray, grid: tuple[int, int], new: tuple[int, int], prefix: int = 1) -> np.ndarray:
+    """Position vectors of a grid (after `prefix` ones that stay) for another grid, by cubic convolution.
+
+    table: (prefix + rows * columns, dims).  Cell centres lie half a cell inside, edges are held.
+    """
+    def weights(n_out: int, n_in: int, a: float = -0.75) -> np.ndarray:
+        at = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
+        out = np.zeros((n_out, n_in))
+        for step in range(-1, 3):
+            cell = np.floor(at).astype(int) + step
+            d = np.abs(at - cell)
+            w = np.where(d <= 1, (a + 2) * d**3 - (a + 3) * d**2 + 1, a * (d**3 - 5 * d**2 + 8 * d - 4))
+            np.add.at(out, (np.arange(n_out), np.clip(cell, 0, n_in - 1)), w)
+        return out
+
+    if grid == new:
+        return table
+    cells = table[prefix:].reshape(*grid, -1)
+    out = np.einsum("yr,xc,rcd->yxd", weights(new[0], grid[0]), weights(new[1], grid[1]), cells)
+    return np.concatenate([table[:prefix], out.reshape(new[0] * new[1], -1)])
+
+
+# The weight that holds the first mask back, by the number of points.
+MASK_POINTS, MASK_WEIGHT = 2.5, 1000.0
+
+
 def best_mask(scores: DataFrame, n_points: int) -> DataFrame:
-    """scores: image_idx, mask, iou.  The mask of the best score; with several points the first mask is held back."""
+    """scores: image_idx, mask, iou.  The mask of the best score; with one or two points the first mask is held back, with more it is preferred."""
     from pyspark.sql import functions as F
 
-    weight = F.when(F.col("mask") == 0, F.lit((n_points - 2.5) * 1000.0)).otherwise(F.lit(0.0))
+    weight = F.when(F.col("mask") == 0, F.lit((n_points - MASK_POINTS) * MASK_WEIGHT)).otherwise(F.lit(0.0))
     return scores.groupBy("image_idx").agg(F.max_by("mask", F.struct(F.col("iou") + weight, -F.col("mask"))).alias("mask"))

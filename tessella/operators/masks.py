@@ -45,7 +45,7 @@ def iou(a: list[Column], b: list[Column]) -> Column:
 
 
 def nms(boxes: DataFrame, threshold: float = 0.7, by: str = "grp") -> DataFrame:
-    """Greedy suppression by score within each group; equal scores keep the smaller box_id.  by, box_id.
+    """Greedy suppression by score within each group; equal scores keep the smaller box_id, then the smaller corners.  by, box_id.
 
     Sequential by nature: a group (the boxes of one image, a bounded number) is one task.
     """
@@ -53,7 +53,7 @@ def nms(boxes: DataFrame, threshold: float = 0.7, by: str = "grp") -> DataFrame:
     import pandas as pd
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
+        pdf = pdf.sort_values(["score", "box_id", "x0", "y0", "x1", "y1"], ascending=[False, *[True] * 5])
         x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
         area, left, kept = (x1 - x0) * (y1 - y0), np.ones(len(pdf), bool), []
         for i in range(len(pdf)):
@@ -61,12 +61,39 @@ def nms(boxes: DataFrame, threshold: float = 0.7, by: str = "grp") -> DataFrame:
                 continue
             kept.append(i)
             inter = np.maximum(np.minimum(x1[i], x1) - np.maximum(x0[i], x0), 0) * np.maximum(np.minimum(y1[i], y1) - np.maximum(y0[i], y0), 0)
-            left &= ~(inter / (area[i] + area - inter) > threshold)
+            left &= ~(inter > threshold * (area[i] + area - inter))
         return pdf.iloc[kept][[by, "box_id"]]
 
     return boxes.groupBy(by).applyInPandas(keep, f"{by} long, box_id long")
 
 
+def nms_across_crops(boxes: DataFrame, threshold: float = 0.7, by: str = "grp") -> DataFrame:
+    """boxes: crop_x0 .. crop_y1 beside the usual columns.  Boxes of smaller crops come first; equal crops by box_id."""
+    area = (F.col("crop_x1") - F.col("crop_x0")) * (F.col("crop_y1") - F.col("crop_y0"))
+    return nms(boxes.withColumn("score", 1.0 / area), threshold, by)
+
+
+def nms_after_cleanup(boxes: DataFrame, threshold: float = 0.7, by: str = "grp") -> DataFrame:
+    """boxes: changed (whether cleaning changed the mask).  Unchanged masks come first; equal ones by box_id."""
+    return nms(boxes.withColumn("score", F.when(F.col("changed"), 0.0).otherwise(1.0)), threshold, by)
+
+
+def clean_masks(cells: DataFrame, h: int, w: int, area: int, threshold: float = 0.7) -> DataFrame:
+    """cells: image_idx, mask_id, row, col.  Holes filled, islands dropped, then boxes suppressed within each image.
+
+    image_idx, mask_id, row, col of the masks that stay.
+    """
+    images = cells.select("image_idx", "mask_id").distinct()
+    plain = cells.select("mask_id", "row", "col")
+    cleaned = small_regions(small_regions(plain, h, w, area, "holes"), h, w, area, "islands")
+    count = lambda df, name: df.groupBy("mask_id").agg(F.count(F.lit(1)).alias(name), F.sum(F.col("row") * w + F.col("col")).alias(f"{name}_sum"))
+    changed = count(plain.distinct(), "a").join(count(cleaned, "b"), "mask_id").select("mask_id", ((F.col("a") != F.col("b")) | (F.col("a_sum") != F.col("b_sum"))).alias("changed"))
+    boxes = mask_boxes(cleaned, images.select("mask_id"), ["mask_id"]).join(changed, "mask_id").join(images, "mask_id")
+    corners = boxes.select(F.col("image_idx").alias("grp"), F.col("mask_id").alias("box_id"), "changed", *[F.col(c).cast("double").alias(c + "0") for c in "xy"], (F.col("x") + F.col("w")).cast("double").alias("x1"), (F.col("y") + F.col("h")).cast("double").alias("y1"))
+    kept = nms_after_cleanup(corners, threshold).select(F.col("grp").alias("image_idx"), F.col("box_id").alias("mask_id"))
+    return kept.join(cleaned, "mask_id").select("image_idx", "mask_id", "row", "col")
+
+
 def small_regions(cells: DataFrame, h: int, w: int, area: int, mode: str) -> DataFrame:
     """cells: mask_id, row, col.  8-connected regions below `area`: holes are filled, or islands dropped (the largest stays if all are small)."""
     import numpy as np

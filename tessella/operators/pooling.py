@@ -1,8 +1,14 @@
-"""Patches to image and segment vectors.  Long form: one row for each vector position, so sums are partial before any shuffle."""
+"""Patches to image and segment vectors.
+
+Vectors are summed whole (one buffer for each group, partial before any shuffle);
+the long form, a row for each position, is only made of the results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,17 +31,29 @@ def assign(patches: DataFrame, centers: DataFrame) -> DataFrame:
     return both.withColumn("_best", F.array_max(sims)).select(*patches.columns, (-F.col("_best.k")).alias("k"), F.col("_best.sim").alias("sim"), F.col("_best.c").alias("c"))
 
 
-def _norm_over(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    n = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(*by)))
-    return df.withColumn(value, F.col(value) / F.greatest(n, F.lit(V.EPS)))
+def _total(x: Column, weight: Column | None = None) -> Column:
+    """The sum of array vectors in a group."""
+    return vector_to_array(Summarizer.sum(array_to_vector(x if weight is None else F.zip_with(x, F.array_repeat(weight, F.size(x)), lambda a, w: a * w))))
+
+
+def _long(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
+    """by, pos, x."""
+    return vectors.select(*by, F.posexplode(vec).alias("pos", "x")).select(*by, F.col("pos").cast("long").alias("pos"), "x")
+
+
+def _blocks_to_long(sums: DataFrame, by: list[str]) -> DataFrame:
+    """sums: by, k, v.  Each block of unit length, then all blocks of a group together."""
+    unit = sums.select(*by, "k", V.l2_normalize(F.col("v")).alias("v"))
+    # after the blocks a group's length is the root of the number of blocks that are not zero, told by their own squares
+    whole = unit.groupBy(*by).agg(F.collect_list(F.struct("k", "v")).alias("_b"), F.sqrt(F.sum(V.dot(F.col("v"), F.col("v")))).alias("_n"))
+    each = whole.select(*by, F.greatest("_n", F.lit(V.EPS)).alias("_n"), F.explode("_b").alias("_b")).select(*by, F.col("_b.k").alias("k"), V.scaled(F.col("_b.v"), 1 / F.col("_n")).alias("v"))
+    return _long(each, [*by, "k"], "v")
 
 
 def vlad(assigned: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Residual sums for each group and centre, each of unit length, the whole of unit length.  by, k, pos, x (missing centres: no rows, zeros)."""
     x = V.residual(F.col("desc"), F.col("c"))
-    rows = assigned.select(*by, "k", *([weight] if weight else []), F.posexplode(x).alias("pos", "x"))
-    sums = rows.groupBy(*by, "k", F.col("pos").cast("long").alias("pos")).agg(F.sum(F.col("x") * F.col(weight) if weight else F.col("x")).alias("x"))
-    return _norm_over(_norm_over(sums, "x", [*by, "k"]), "x", by)
+    return _blocks_to_long(assigned.groupBy(*by, "k").agg(_total(x, F.col(weight) if weight else None).alias("v")), by)
 
 
 def soft_weights(patches: DataFrame, centers: DataFrame, temperature: float) -> DataFrame:
@@ -52,31 +70,48 @@ def vlad_soft(patches: DataFrame, centers: DataFrame, temperature: float = 1.0,
     weighted = soft_weights(patches, centers, temperature)
     if textbook:
         return vlad(weighted, ["image_idx"], weight="w")
-    total = centers.agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.col("c")[i]) for i in range(_width(centers))]).alias("_sum"))
+    total = centers.agg(F.count(F.lit(1)).alias("_n"), _total(F.col("c")).alias("_sum"))
     x = F.zip_with(F.transform("desc", lambda v: v * F.col("_n")), F.col("_sum"), lambda a, b: a - b)
-    rows = weighted.join(F.broadcast(total), F.lit(True)).select("image_idx", "k", "w", F.posexplode(x).alias("pos", "x"))  # one row
-    sums = rows.groupBy("image_idx", "k", F.col("pos").cast("long").alias("pos")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
-    return _norm_over(_norm_over(sums, "x", ["image_idx", "k"]), "x", ["image_idx"])
+    rows = weighted.join(F.broadcast(total), F.lit(True)).select("image_idx", "k", "w", x.alias("x"))  # one row
+    return _blocks_to_long(rows.groupBy("image_idx", "k").agg(_total(F.col("x"), F.col("w")).alias("v")), ["image_idx"])
 
 
-def _width(centers: DataFrame) -> int:
-    return centers.select(F.size("c")).first()[0]
+def pooled(patches: DataFrame, how: str, by: list[str], p: float = 3.0, use_abs: bool = False) -> DataFrame:
+    """gap, gmp or gem over patches, then unit length: by, v."""
+    v = F.col("desc")
+    if how == "gem":
+        v = F.transform(v, lambda x: F.pow(F.abs(x) if use_abs else x, F.lit(p)))
+    stat = {"gap": Summarizer.mean, "gem": Summarizer.mean, "gmp": Summarizer.max}.get(how)
+    if stat is None:
+        raise ValueError(f"unknown pooling {how}")
+    out = patches.groupBy(*by).agg(vector_to_array(stat(array_to_vector(v))).alias("v"))
+    if how == "gem":
+        out = out.withColumn("v", F.transform("v", lambda m: F.signum(m) * F.pow(F.abs(m), F.lit(1 / p))))
+    return out.withColumn("v", V.l2_normalize(F.col("v")))
 
 
 def pool(patches: DataFrame, how: str, by: list[str], p: float = 3.0, use_abs: bool = False) -> DataFrame:
-    """gap, gmp or gem over patches, then unit length: by, pos, x."""
-    rows = patches.select(*by, F.posexplode("desc").alias("pos", "v"))
-    g = rows.groupBy(*by, F.col("pos").cast("long").alias("pos"))
-    if how == "gap":
-        out = g.agg(F.avg("v").alias("x"))
-    elif how == "gmp":
-        out = g.agg(F.max("v").alias("x"))
-    elif how == "gem":
-        m = F.avg(F.pow(F.abs("v") if use_abs else F.col("v"), F.lit(p)))
-        out = g.agg((F.signum(m) * F.pow(F.abs(m), F.lit(1 / p))).alias("x"))
-    else:
-        raise ValueError(f"unknown pooling {how}")
-    return _norm_over(out, "x", by)
+    """The same in long form: by, pos, x."""
+    return _long(pooled(patches, how, by, p, use_abs), by, "v")
+
+
+def dense(long: DataFrame, by: list[str], centers: DataFrame) -> DataFrame:
+    """by, k, pos, x to by, v: blocks of all centres in order, zeros for those a group lacks."""
+    shape = centers.agg(F.max(F.size("c")).alias("dims"), F.max("k").alias("k")).first()
+    blocks = long.groupBy(*by, "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    held = blocks.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    block = lambda k: F.coalesce(F.try_element_at("m", k), F.array_repeat(F.lit(0.0), shape["dims"]))
+    return held.select(*by, F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shape["k"]).cast("long")), block)).alias("v"))
+
+
+def with_encodings(vectors: DataFrame, encodings: list[tuple[DataFrame, float]], by: list[str]) -> DataFrame:
+    """vectors: by, v; encodings: tables (by, v) with their weights.  The vector and the weighted encodings side by side, of unit length."""
+    out = vectors
+    parts = [F.col("v")]
+    for i, (e, weight) in enumerate(encodings):
+        out = out.join(e.select(*by, F.col("v").alias(f"_e{i}")), by)
+        parts.append(V.scaled(F.col(f"_e{i}"), F.lit(weight)))
+    return out.select(*by, V.l2_normalize(F.concat(*parts)).alias("v"))
 
 
 def expand_masks(masks: DataFrame, adjacency: DataFrame) -> DataFrame:

@@ -108,25 +108,47 @@ def top_k_blocks(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosin
     return top_k(found, k)
 
 
-def vote_sum(hits: DataFrame, images: DataFrame) -> DataFrame:
+def segment_top_k(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Both: image_idx, seg, e.  query_idx, q_seg, image_idx, seg, sim and r (from 1) of each query segment's k best
+    database segments; equal similarities (to nine places) go to the smaller image and segment."""
+    width = 1 + (queries.select("seg").union(db.select("seg")).agg(F.max("seg")).first()[0] or 0)
+    key = F.col("image_idx") * width + F.col("seg")
+    found = top_k_blocks(queries.select(key.alias("query_id"), F.col("e").alias("q")), db.select(key.alias("db_id"), "e"), k, metric)
+    part = lambda c: (F.floor(F.col(c) / width).cast("long"), F.pmod(F.col(c), F.lit(width)))
+    (qi, qs), (di, ds) = part("query_id"), part("db_id")
+    return found.select(qi.alias("query_idx"), qs.alias("q_seg"), di.alias("image_idx"), ds.alias("seg"), "sim", F.col("rank").alias("r"))
+
+
+def vote_sum(hits: DataFrame) -> DataFrame:
     """hits: query_idx, q_seg, image_idx, sim (top k of each query segment).
 
-    An image's score is the sum of its hits over the number of query segments; images without a hit have 0.
+    The score of each image that is hit: the sum of its hits over the number of query segments.
     """
     n = hits.groupBy("query_idx").agg(F.countDistinct("q_seg").alias("n"))
     sums = hits.groupBy("query_idx", "image_idx").agg(F.sum("sim").alias("s"))
-    all_pairs = n.join(images.select("image_idx"), F.lit(True))
-    return all_pairs.join(sums, ["query_idx", "image_idx"], "left").select("query_idx", "image_idx", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("score"))
+    return sums.join(n, "query_idx").select("query_idx", "image_idx", (F.col("s") / F.col("n")).alias("score"))
 
 
-def vote_weighted(hits: DataFrame, images: DataFrame) -> DataFrame:
-    """Similarities scaled to 0..1 over all of a query's hits, then summed for each image."""
+def vote_weighted(hits: DataFrame) -> DataFrame:
+    """Similarities scaled to 0..1 over all of a query's hits, then summed for each image that is hit."""
     w = Window.partitionBy("query_idx")
     low, high = F.min("sim").over(w), F.max("sim").over(w)
     scaled = hits.withColumn("x", (F.col("sim") - low) / F.greatest(high - low, F.lit(1e-12)))
-    sums = scaled.groupBy("query_idx", "image_idx").agg(F.sum("x").alias("s"))
-    all_pairs = hits.select("query_idx").distinct().join(images.select("image_idx"), F.lit(True))
-    return all_pairs.join(sums, ["query_idx", "image_idx"], "left").select("query_idx", "image_idx", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return scaled.groupBy("query_idx", "image_idx").agg(F.sum("x").alias("score"))
+
+
+def rank_votes(votes: DataFrame, images: DataFrame, k: int) -> DataFrame:
+    """votes: query_idx, image_idx, score; images: image_idx.  The k best images of each query, with rank.
+
+    An image without a vote scores 0, which is above a negative sum.  Of those only k
+    can rank, and they are among the first images by id, as many as a query has votes and
+    k more; so queries do not meet all images.
+    """
+    most = votes.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    first = images.select("image_idx").orderBy("image_idx").limit(most + k)  # a query's hits are bounded by its segments times the hits of each
+    free = votes.select("query_idx").distinct().join(F.broadcast(first), F.lit(True)).join(votes, ["query_idx", "image_idx"], "left_anti")
+    every = votes.select("query_idx", "image_idx", "score").unionByName(free.withColumn("score", F.lit(0.0)))
+    return top_k(every, k, by="query_idx", score="score", tie="image_idx")
 
 
 def rerank(coarse: DataFrame, local: DataFrame, alpha: float) -> DataFrame:

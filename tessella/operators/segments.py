@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions import vector as V
+
 
 def centroids(masks: DataFrame) -> DataFrame:
     """masks: image_idx, seg, row, col.  Mean column and row by index."""
@@ -74,12 +78,61 @@ def context_encoding(cents: DataFrame, adjacency: DataFrame, grid_h: int, grid_w
     return rows.groupBy("image_idx", "seg", "base", "f").agg(F.avg(F.sin(a)).alias("s"), F.avg(F.cos(a)).alias("c"))
 
 
+def most_responsive(patches: DataFrame, centers: DataFrame) -> int:
+    """The k of the centre of the largest mean cosine over all patches; ties go to the smaller k."""
+    unit = patches.select(V.l2_normalize(F.col("desc")).alias("u"))
+    mean = unit.agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("m"))  # the mean cosine is the cosine with the mean, but for its length
+    scored = centers.join(F.broadcast(mean), F.lit(True)).select("k", F.round(V.dot(V.l2_normalize(F.col("c")), F.col("m")), 9).alias("s"))
+    return scored.orderBy(F.desc("s"), "k").first()["k"]
+
+
+def patch_response(patches: DataFrame, center: DataFrame | None = None) -> DataFrame:
+    """image_idx, p, response: cosine to one centre, or without one the vector's length."""
+    if center is None:
+        return patches.select("image_idx", "p", V.norm(F.col("desc")).alias("response"))
+    return patches.join(F.broadcast(center.select("c")), F.lit(True)).select("image_idx", "p", V.cosine(F.col("desc"), F.col("c")).alias("response"))  # one row
+
+
+def segment_scores(masks: DataFrame, response: DataFrame, how: str) -> DataFrame:
+    """image_idx, seg, score: mean or max of the responses of a segment's patches, minus infinity without any."""
+    if how not in ("mean", "max"):
+        raise ValueError(f"how: {how!r} is none of mean, max")
+    r = masks.join(response, ["image_idx", "p"], "left").groupBy("image_idx", "seg")
+    return r.agg(F.coalesce(F.avg("response") if how == "mean" else F.max("response"), F.lit(float("-inf"))).alias("score"))
+
+
+def encodings(cents: DataFrame, adjacency: DataFrame, grid_h: int, grid_w: int, centroid_frequencies: int, context_frequencies: int) -> tuple[DataFrame, DataFrame]:
+    """image_idx, seg, v: Fourier features of each centroid, and of its neighbours as seen from it (zeros without any)."""
+    own = cents.select("image_idx", "seg", V.centroid_fourier((F.col("cx") + 0.5) / grid_w, (F.col("cy") + 0.5) / grid_h, centroid_frequencies).alias("v"))
+    rows = context_encoding(cents, adjacency, grid_h, grid_w, context_frequencies)
+    wide = rows.groupBy("image_idx", "seg").agg(F.array_sort(F.collect_list(F.struct("base", "f", "s", "c"))).alias("r"))
+    flat = F.flatten(F.transform("r", lambda x: F.array(x["s"], x["c"])))
+    context = cents.select("image_idx", "seg").join(wide.select("image_idx", "seg", flat.alias("v")), ["image_idx", "seg"], "left")
+    return own, context.withColumn("v", F.coalesce("v", F.array_repeat(F.lit(0.0), 10 * context_frequencies)))
+
+
 def pixel_to_patch(y: Column, x: Column, h: int, w: int, grid_h: int, grid_w: int) -> Column:
     """Row-major patch of a pixel, clamped to the grid."""
     cell = lambda v, size, grid: F.least(F.greatest(F.floor(v * grid / size), F.lit(0)), F.lit(grid - 1))
     return (cell(y, h, grid_h) * grid_w + cell(x, w, grid_w)).cast("long")
 
 
+def upsample_bilinear(cells: DataFrame, grid: tuple[int, int], out: tuple[int, int]) -> DataFrame:
+    """cells: image_idx, row, col, v.  image_idx, y, x, v of every pixel: cell centres lie half a cell inside, edges are held.
+
+    A pixel looks at two rows and two columns, so a cell goes to the pixels around it and their weighted parts are summed.
+    """
+    def parts(n_out: int, n_in: int) -> list[tuple[int, int, float]]:
+        at = [min(max((i + 0.5) * n_in / n_out - 0.5, 0.0), n_in - 1.0) for i in range(n_out)]
+        return [(i, c, 1 - abs(a - c)) for i, a in enumerate(at) for c in (int(a), int(a) + 1) if c < n_in and 1 - abs(a - c) > 0]
+
+    spark = cells.sparkSession
+    rows = spark.createDataFrame(parts(out[0], grid[0]), "y long, row long, wy double")
+    cols = spark.createDataFrame(parts(out[1], grid[1]), "x long, col long, wx double")  # two rows for each pixel row and column
+    each = cells.join(F.broadcast(rows), "row").join(F.broadcast(cols), "col")
+    return each.groupBy("image_idx", "y", "x").agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v"))
+
+
 def pixels_to_patches(pixels: DataFrame, h: int, w: int, grid_h: int, grid_w: int) -> DataFrame:
     """Patches with any pixel of a segment."""
     return pixels.select("image_idx", "seg", pixel_to_patch(F.col("y"), F.col("x"), h, w, grid_h, grid_w).alias("p")).distinct()

@@ -77,9 +77,11 @@ SQL = {
     "boxes": "boxes AS (SELECT l_orderkey % 50 AS grp, l_orderkey * 10 + l_linenumber AS box_id, CAST(l_partkey % 100 AS DOUBLE) AS x0, CAST(l_suppkey % 100 AS DOUBLE) AS y0, CAST(l_partkey % 100 + 5 + l_linenumber AS DOUBLE) AS x1, CAST(l_suppkey % 100 + 5 + l_quantity AS DOUBLE) AS y1, l_extendedprice AS score FROM lineitem)",
     "tile_geo": "tile_geo AS (SELECT DISTINCT image_idx, (image_idx % 8 + 0.5) * 512.0 AS cx, (image_idx // 8 + 0.5) * 512.0 AS cy, 512.0 AS ew, 512.0 AS eh FROM patches)",
     "query_geo": "query_geo AS (SELECT q.image_idx AS query_idx, q.image_idx + 1 AS gt_tile, CAST((q.image_idx * 37) % 512 - 256 AS DOUBLE) AS dx, CAST((q.image_idx * 53) % 512 - 256 AS DOUBLE) AS dy, t.cx + ((q.image_idx * 37) % 512 - 256) AS x, t.cy + ((q.image_idx * 53) % 512 - 256) AS y FROM tile_geo q JOIN tile_geo t ON t.image_idx = q.image_idx + 1 WHERE q.image_idx % 4 = 0)",
-    "ranking": "ranking AS (SELECT query_id, rank, db_id, sim, label, q_label FROM (SELECT query_id, db_id, round(list_dot_product(q, e), 9) AS sim, label, q_label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, e), 9) DESC, db_id) AS rank FROM vec_query, vec_db) WHERE rank <= 20)",
+    "unit": "unit AS (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS e, label FROM vectors)",
+    "unit_patches": "unit_patches AS (SELECT vec_id // 25 AS image_idx, vec_id % 25 AS p, (vec_id % 25) // 5 AS row, vec_id % 5 AS col, e AS \"desc\" FROM unit)",
+    "ranking": "ranking AS (SELECT query_id, rank, db_id, sim, label, q_label FROM (SELECT q.vec_id AS query_id, d.vec_id AS db_id, round(list_dot_product(q.e, d.e), 9) AS sim, d.label, q.label AS q_label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 9) DESC, d.vec_id) AS rank FROM unit q JOIN unit d ON q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0) WHERE rank <= 20)",
 }
-NEEDS = {"vec_query": ["vectors"], "vec_db": ["vectors"], "patches": ["vectors"], "centers": ["vectors"], "segments": ["patches"], "tile_geo": ["patches"], "query_geo": ["tile_geo"], "ranking": ["vec_query", "vec_db"]}
+NEEDS = {"vec_query": ["vectors"], "vec_db": ["vectors"], "patches": ["vectors"], "centers": ["vectors"], "segments": ["patches"], "tile_geo": ["patches"], "query_geo": ["tile_geo"], "unit": ["vectors"], "unit_patches": ["unit"], "ranking": ["vec_query", "vec_db", "unit"]}
 
 
 def with_views(*names: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +14,7 @@ from tessella.operators import learning as L
 from tessella.operators import maps as A
 from tessella.operators import masks as K
 from tessella.operators import joins as J
+from tessella.operators import mining as T
 from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
@@ -102,7 +106,7 @@ def g03_center_crop_box(spark, d):
 @query()
 def g05_adjacency_delaunay(spark, d):
     v = X.vectors(spark, d)
-    cents = v.where("vec_id % 25 < 8").select(F.expr("vec_id div 25").alias("image_idx"), (F.col("vec_id") % 25).alias("seg"), F.col("e")[0].alias("cx"), F.col("e")[1].alias("cy"))
+    cents = v.select(F.expr("vec_id div 25").alias("image_idx"), (F.col("vec_id") % 25).alias("seg"), F.col("e")[0].alias("cx"), F.col("e")[1].alias("cy"))
     return K.delaunay_adjacency(cents)
 
 
@@ -140,11 +144,35 @@ def g14_mask_bbox(spark, d):
     return K.mask_boxes(s.where("image_idx % 3 <> 0"), s.select("image_idx", "seg").distinct(), ["image_idx", "seg"])
 
 
-@query()
+def _greedy(source: str, threshold: float) -> str:
+    """Suppression as recursion: each step takes the best box left of every group and drops what overlaps it."""
+    return f""", RECURSIVE_n AS (SELECT grp, box_id, x0, y0, x1, y1, score, 0 AS step FROM {source} UNION ALL SELECT grp, box_id, x0, y0, x1, y1, score, step + 1 FROM (SELECT *, row_number() OVER w AS r, first_value(x0) OVER w AS a0, first_value(y0) OVER w AS b0, first_value(x1) OVER w AS a1, first_value(y1) OVER w AS b1 FROM RECURSIVE_n WINDOW w AS (PARTITION BY grp ORDER BY score DESC, box_id, x0, y0, x1, y1))
+WHERE r > 1 AND NOT greatest(least(x1, a1) - greatest(x0, a0), 0) * greatest(least(y1, b1) - greatest(y0, b0), 0) > {threshold} * ((x1 - x0) * (y1 - y0) + (a1 - a0) * (b1 - b0) - greatest(least(x1, a1) - greatest(x0, a0), 0) * greatest(least(y1, b1) - greatest(y0, b0), 0)))
+SELECT grp, box_id FROM (SELECT grp, box_id, row_number() OVER (PARTITION BY grp, step ORDER BY score DESC, box_id, x0, y0, x1, y1) AS r FROM RECURSIVE_n) WHERE r = 1""".replace("RECURSIVE_n", "left_over")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(with_views("boxes") + _greedy("boxes", 0.5)))
 def g15_nms(spark, d):
     return K.nms(X.boxes(spark, d), 0.5)
 
 
+@query(_recursive(with_views("boxes") + ", crops AS (SELECT * REPLACE (CAST(1.0 AS DOUBLE) / CAST((20 + box_id % 4 * 20) * (30 + box_id % 3 * 10) AS DOUBLE) AS score) FROM boxes)" + _greedy("crops", 0.7)))
+def g15_nms_across_crops(spark, d):
+    """Boxes found in several crops: those of smaller crops come first."""
+    size = lambda n, a, b: (a + F.col("box_id") % n * b).cast("double")
+    return K.nms_across_crops(X.boxes(spark, d).withColumns({"crop_x0": F.lit(0.0), "crop_y0": F.lit(0.0), "crop_x1": size(4, 20, 20), "crop_y1": size(3, 30, 10)}), 0.7)
+
+
+@query(_recursive(with_views("boxes") + ", marked AS (SELECT * REPLACE (CASE WHEN box_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS score) FROM boxes)" + _greedy("marked", 0.7)))
+def g15_nms_after_cleanup(spark, d):
+    """Masks that cleaning has not changed come first."""
+    return K.nms_after_cleanup(X.boxes(spark, d).withColumn("changed", F.col("box_id") % 3 == 0), 0.7)
+
+
 @query("""WITH l AS (SELECT unnest([1, 2]) AS layer), p AS (SELECT layer, CAST(2 ** layer AS BIGINT) AS n FROM l), o AS (SELECT layer, n, CAST(floor(0.3413333 * 480 * (2.0 / n)) AS BIGINT) AS over FROM p),
 c AS (SELECT *, CAST(ceil((over * (n - 1) + 640) / n) AS BIGINT) AS cw, CAST(ceil((over * (n - 1) + 480) / n) AS BIGINT) AS ch FROM o)
 SELECT CAST(0 AS BIGINT) AS layer, CAST(0 AS BIGINT) AS x0, CAST(0 AS BIGINT) AS y0, CAST(640 AS BIGINT) AS x1, CAST(480 AS BIGINT) AS y1
@@ -182,16 +210,18 @@ def g21_remove_small_regions(spark, d):
     return K.small_regions(cells, 5, 5, 3, "islands")
 
 
+@query()
+def g21_clean_masks(spark, d):
+    """Holes and islands of every image's mask, and the masks left by their boxes."""
+    cells = X.patches(spark, d).where(F.col("desc")[0] > 0).select(F.expr("image_idx div 4").alias("image_idx"), F.col("image_idx").alias("mask_id"), "row", "col")
+    return K.clean_masks(cells, 5, 5, 3)
+
+
 @query(doubles("SELECT 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, r AS row, c AS col, (c + 0.5) * 512 AS cx, (r + 0.5) * 512 AS cy, c * 512 AS x0, r * 512 AS y0, (c + 1) * 512 AS x1, (r + 1) * 512 AS y1 FROM (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 8)) AS c)", "cx", "cy"))
 def g22_tile_grid(spark, d):
     return G.tile_grid(spark, 8, 8, 512)
 
 
-@query("SELECT tile_id, row, col, x1 - x0 AS w, y1 - y0 AS h FROM (SELECT 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, r AS row, c AS col, c * 256 AS x0, r * 256 AS y0, (c + 1) * 256 AS x1, (r + 1) * 256 AS y1 FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 4)) AS c))")
-def k08_write_tiles(spark, d):
-    return G.tile_grid(spark, 4, 4, 256).select("tile_id", "row", "col", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
-
-
 @query(doubles(f"{with_views('query_geo')}, t AS (SELECT query_idx, x, y, CAST(least(greatest(floor(y / 512), 0), 7) AS BIGINT) AS r, CAST(least(greatest(floor(x / 512), 0), 7) AS BIGINT) AS c FROM query_geo) SELECT query_idx, 'tile_r' || lpad(CAST(r AS VARCHAR), 2, '0') || '_c' || lpad(CAST(c AS VARCHAR), 2, '0') AS tile_id, x - (c + 0.5) * 512 AS ox, y - (r + 0.5) * 512 AS oy FROM t", "ox", "oy"))
 def g23_point_to_tile(spark, d):
     _, _, t, ox, oy = G.point_to_tile(F.col("x"), F.col("y"), 512, 8, 8)
@@ -227,14 +257,31 @@ def g28_latlon_grid(spark, d):
     return G.latlon_grid(spark, 53.947228, -1.155475, 6, 7, 36.0)
 
 
-@query(f"{with_views('patches')} SELECT image_idx, y, x, round(\"desc\"[1], 6) + 0.0 AS v FROM patches, (SELECT unnest(range(0, 15)) AS y), (SELECT unnest(range(0, 15)) AS x) WHERE image_idx < 3 AND row = y * 5 // 15 AND col = x * 5 // 15")
+_FOOT = "36.0 / (2 * 111000)"
+
+
+@query(f"""WITH g AS (SELECT i, j, round(53.947228 + (i - 2.5) * (36.0 / 111000), 6) AS lat FROM (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 7)) AS j)), h AS (SELECT *, round(-1.155475 + (j - 3.0) * (36.0 / 111000) / cos(radians(lat)), 6) AS lon FROM g)
+SELECT i, j, lat, lon, round(lon - {_FOOT} / cos(radians(lat)), 9) AS left_lon, round(lon + {_FOOT} / cos(radians(lat)), 9) AS right_lon, round(lat + {_FOOT}, 9) AS top_lat, round(lat - {_FOOT}, 9) AS bottom_lat, round(36.0 / (256 * 111000), 12) AS lat_per_pixel, round(36.0 / (256 * 111000) / cos(radians(lat)), 12) AS lon_per_pixel FROM h""".replace("36.0", "CAST(36 AS DOUBLE)"))
+def g28_footprints(spark, d):
+    """A lattice around its middle, each row with its own step of longitude, and what each image covers."""
+    return G.footprints(G.centered_lattice(spark, 53.947228, -1.155475, 6, 7, 36.0), 36.0, 36.0, 256, 256)
+
+
+@query(f"{with_views('patches')} SELECT image_idx, y, x, round(\"desc\"[1], 6) + 0.0 AS v FROM patches, (SELECT unnest(range(0, 15)) AS y), (SELECT unnest(range(0, 15)) AS x) WHERE row = y * 5 // 15 AND col = x * 5 // 15")
 def g29_upsample_grid(spark, d):
     """Nearest: every pixel takes its patch."""
-    p = X.patches(spark, d).where("image_idx < 3").select("image_idx", "p", F.col("desc")[0].alias("v"))
+    p = X.patches(spark, d).select("image_idx", "p", F.col("desc")[0].alias("v"))
     px = p.select("image_idx").distinct().select("image_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))).alias("y")).select("image_idx", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))).alias("x"))
     return px.withColumn("p", S.pixel_to_patch(F.col("y"), F.col("x"), 15, 15, 5, 5)).join(p, ["image_idx", "p"]).select("image_idx", "y", "x", r6(F.col("v")).alias("v"))
 
 
+@query(f"""{with_views('patches')}, px AS (SELECT i.image_idx, y, x, greatest((y + 0.5) * 5 / 15 - 0.5, 0) AS sy, greatest((x + 0.5) * 5 / 15 - 0.5, 0) AS sx FROM (SELECT DISTINCT image_idx FROM patches) i, (SELECT unnest(range(0, 15)) AS y), (SELECT unnest(range(0, 15)) AS x))
+SELECT px.image_idx, y, x, round(sum("desc"[1] * greatest(1 - abs(least(sy, 4) - row), 0) * greatest(1 - abs(least(sx, 4) - col), 0)), 6) + 0.0 AS v FROM px JOIN patches USING (image_idx) GROUP BY 1, 2, 3""")
+def g29_upsample_bilinear(spark, d):
+    p = X.patches(spark, d).select("image_idx", "row", "col", F.col("desc")[0].alias("v"))
+    return S.upsample_bilinear(p, (5, 5), (15, 15)).withColumn("v", r6(F.col("v")))
+
+
 @query("SELECT p_partkey, CAST(floor(p_size * (1024.0 / greatest(p_size, p_partkey)) + 0.5) AS BIGINT) AS h, CAST(floor(p_partkey * (1024.0 / greatest(p_size, p_partkey)) + 0.5) AS BIGINT) AS w FROM part".replace("1024.0", "CAST(1024 AS DOUBLE)"))
 def g31_resize_longest(spark, d):
     h, w = G.resize_longest(F.col("p_size"), F.col("p_partkey"), 1024)
@@ -246,18 +293,22 @@ def v11_sincos_pe_2d(spark, d):
     return G.sincos_2d(spark, 16, 6).withColumn("v", r6(F.col("v")))
 
 
-@query()
-def v12_random_fourier_pe(spark, d):
-    """sin and cos of 2 pi (2 c - 1) G for a seeded Gaussian G."""
-    g = spark.range(8).select(F.col("id").alias("f"), F.randn(1).alias("gx"), F.randn(2).alias("gy"))
-    a = 2 * 3.141592653589793 * ((2 * F.col("x") - 1) * F.col("gx") + (2 * F.col("y") - 1) * F.col("gy"))
-    return G.point_grid(spark, 4).join(F.broadcast(g), F.lit(True)).select("r", "c", "f", F.sin(a).alias("s"), F.cos(a).alias("cs"))  # eight frequencies
+def _u(*parts: str) -> str:
+    return "CAST('0x' || substr(sha1(" + " || ':' || ".join(parts) + "), 1, 12) AS BIGINT) / 281474976710656.0"
+
 
+def _normal(*parts: str) -> str:
+    u, v = _u(*parts, "'r'"), _u(*parts, "'a'")
+    return f"sqrt(-2 * ln(CAST(1 - {u} AS DOUBLE))) * cos(2 * pi() * {v})"
 
-@query(f"{with_views('boxes')} SELECT box_id, grp, (x1 - x0) * (y1 - y0) AS area, x0 AS bbox_x0, y0 AS bbox_y0, x1 - x0 AS bbox_w, y1 - y0 AS bbox_h FROM boxes")
-def k09_write_mask_table(spark, d):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return X.boxes(spark, d).select("box_id", "grp", (w * h).alias("area"), F.col("x0").alias("bbox_x0"), F.col("y0").alias("bbox_y0"), w.alias("bbox_w"), h.alias("bbox_h"))
+
+@query(f"""WITH g AS (SELECT f, {_normal("'1:x'", "f")} AS gx, {_normal("'1:y'", "f")} AS gy FROM (SELECT unnest(range(0, 8)) AS f)), pt AS (SELECT r, c, (c + 0.5) / 4 AS x, (r + 0.5) / 4 AS y FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 4)) AS c))
+SELECT r, c, f, round(sin(2 * pi() * ((2 * x - 1) * gx + (2 * y - 1) * gy)), 6) + 0.0 AS s, round(cos(2 * pi() * ((2 * x - 1) * gx + (2 * y - 1) * gy)), 6) + 0.0 AS cs FROM pt, g""")
+def v12_random_fourier_pe(spark, d):
+    """sin and cos of 2 pi (2 c - 1) G for a seeded Gaussian G."""
+    g = spark.range(8).select(F.col("id").alias("f"), L.gaussian("1:x", F.col("id")).alias("gx"), L.gaussian("1:y", F.col("id")).alias("gy"))
+    a = 2 * math.pi * ((2 * F.col("x") - 1) * F.col("gx") + (2 * F.col("y") - 1) * F.col("gy"))
+    return G.point_grid(spark, 4).join(F.broadcast(g), F.lit(True)).select("r", "c", "f", r6(F.sin(a)).alias("s"), r6(F.cos(a)).alias("cs"))  # eight frequencies
 
 
 _ASSIGN = ", a AS (SELECT image_idx, p, \"desc\", k FROM (SELECT image_idx, p, \"desc\", k, row_number() OVER (PARTITION BY image_idx, p ORDER BY round(list_cosine_similarity(\"desc\", c), 9) DESC, k) AS r FROM patches, centers) WHERE r = 1)"
@@ -269,20 +320,28 @@ def m01_fit_vocabulary(spark, d):
     return L.lloyd_step(X.patches(spark, d), X.centers(spark, d)).withColumn("x", r6(F.col("x")))
 
 
+@query()
+def m01_fitted(spark, d):
+    """The fit itself: its centres, and what it leaves (tests hold that against other starts)."""
+    p = X.patches(spark, d)
+    return L.inertia(p.select("image_idx", "p", "desc"), L.fit_vocabulary(p, 8)).withColumn("inertia", F.round("inertia", 6))
+
+
 @query()
 def m02_merge_vocabulary(spark, d):
+    """One vocabulary of two sets of descriptors: k, pos, x."""
     p = X.patches(spark, d)
-    return L.fit_vocabulary(p.where("image_idx % 2 = 0").select("desc").unionByName(p.where("image_idx % 2 = 1").select("desc")), 4).select("k", F.size("c").alias("dims"))
+    v = L.fit_vocabulary(p.where("image_idx % 2 = 0").select("desc").unionByName(p.where("image_idx % 2 = 1").select("desc")), 4)
+    return v.select("k", F.posexplode("c").alias("pos", "x")).select("k", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"))
 
 
 @query()
 def m03_vocabulary_sweep(spark, d):
-    p, tiles, out = X.patches(spark, d), tile_files(spark), None
-    for n in (4, 16):
-        chosen = L.block_sample(tiles, n, 8, 42).select((F.col("row") * 8 + F.col("col")).alias("image_idx"))
-        v = L.fit_vocabulary(p.join(chosen, "image_idx", "left_semi"), 2).select(F.lit(n).alias("tiles"), "k", F.size("c").alias("dims"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    """Vocabularies of 1, 4, 8, 16 and 64 tiles, as far as the tiles go, with what each leaves of all patches."""
+    p, tiles = X.patches(spark, d), tile_files(spark).withColumn("image_idx", F.col("row") * 8 + F.col("col"))
+    swept = L.vocabulary_sweep(p, tiles, 8, (1, 4, 8, 16, 64), 2)
+    out = [L.inertia(p.select("image_idx", "p", "desc"), swept.where(F.col("tiles") == n).select("k", "c")).select(F.lit(n).cast("long").alias("tiles"), F.round("inertia", 6).alias("inertia")) for n in (1, 4, 8, 16, 64)]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def tile_files(spark):
@@ -295,9 +354,12 @@ def m04_block_sample(spark, d):
     return L.block_sample(tile_files(spark), 16, 8, 42)
 
 
-@query(f"{with_views('patches')} SELECT image_idx, p FROM (SELECT image_idx, p, row_number() OVER (PARTITION BY image_idx ORDER BY sha1('7:' || image_idx || ':' || p), p) AS r FROM patches) WHERE r <= 9")
+@query(f"""{with_views('patches')}, f AS (SELECT image_idx FROM (SELECT *, row_number() OVER (ORDER BY sha1('7:' || image_idx), image_idx) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT image_idx FROM patches)) WHERE r <= greatest(1, CAST(round_even(n * 0.5, 0) AS BIGINT))),
+e AS (SELECT image_idx, p, row_number() OVER (PARTITION BY image_idx ORDER BY sha1('7:' || image_idx || ':' || p), p) AS r FROM patches JOIN f USING (image_idx))
+SELECT image_idx, p FROM e WHERE r <= 9 ORDER BY sha1('7:' || image_idx || ':' || p), image_idx, p LIMIT 60""")
 def m05_ratio_sample(spark, d):
-    return L.capped_sample(X.patches(spark, d).select("image_idx", "p"), "image_idx", "p", 9, 7)
+    """Half of the images, nine patches of each at most, sixty in all."""
+    return L.ratio_sample(X.patches(spark, d).select("image_idx", "p"), "image_idx", "p", 0.5, 9, 60, 7)
 
 
 @query()
@@ -315,27 +377,64 @@ def m07_pca_low_factor(spark, d):
 _PTS = "WITH pt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings)"
 
 
-@query(f"""{_PTS}, pr AS (SELECT q.vec_id AS query_id, b.vec_id AS db_id, round(list_distance(q.e, b.e), 9) AS d, (q.x - b.x) ** 2 + (q.y - b.y) ** 2 AS m FROM pt q JOIN pt b ON q.vec_id >= 100 AND q.vec_id < 160 AND b.vec_id < 100),
-pos AS (SELECT query_id, db_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM pr WHERE m <= 36.0) WHERE r = 1),
-neg AS (SELECT query_id, db_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM pr WHERE NOT m <= 144.0) WHERE r <= 10)
+_MINING = f"""{_PTS}, pr AS (SELECT q.vec_id AS query_id, b.vec_id AS db_id, round(list_distance(q.e, b.e), 9) AS d, (q.x - b.x) ** 2 + (q.y - b.y) ** 2 AS m FROM pt q JOIN pt b ON q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+pos AS (SELECT query_id, db_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM pr WHERE m <= 36.0) WHERE r = 1),"""
+
+
+@query(f"""{_MINING} neg AS (SELECT query_id, db_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM pr WHERE NOT m <= 144.0) WHERE r <= 10)
 SELECT p.query_id, p.db_id AS positive, n.db_id AS negative FROM pos p JOIN neg n USING (query_id)""")
 def m09_triplet_mining(spark, d):
-    """The nearest positive within the hard radius, and the ten nearest of those beyond the soft one."""
-    from tessella.operators.retrieval import top_k
-    from tessella.functions import vector as V
+    """The nearest positive within the hard radius, and the ten nearest of all beyond the soft one."""
+    return mined(spark, d, "full")
+
 
+@query(f"""{_MINING} drawn AS (SELECT vec_id AS db_id FROM pt WHERE vec_id % 10 <> 0 ORDER BY sha1('3:' || vec_id), vec_id LIMIT 100),
+neg AS (SELECT query_id, db_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM pr JOIN drawn USING (db_id) WHERE NOT m <= 144.0) WHERE r <= 10)
+SELECT p.query_id, p.db_id AS positive, n.db_id AS negative FROM pos p JOIN neg n USING (query_id)""")
+def m09_triplet_mining_partial(spark, d):
+    """The ten nearest negatives among a hundred database rows drawn for all queries."""
+    return mined(spark, d, "partial", samples=100)
+
+
+@query()
+def m09_triplet_mining_random(spark, d):
+    """Ten negatives drawn for each query."""
+    return mined(spark, d, "random")
+
+
+def mined(spark, d, mode, samples=1000):
     p = X.vectors(spark, d).select("vec_id", "e", (F.col("e")[0] * 100).alias("x"), (F.col("e")[1] * 100).alias("y"))
-    q, b = p.where("vec_id >= 100 and vec_id < 160").withColumnRenamed("vec_id", "query_id"), p.where("vec_id < 100").withColumnRenamed("vec_id", "db_id")
-    near = lambda r: J.radius_join(q, b, r, ["x", "y"], "query_id", "db_id").select("query_id", "db_id")
-    dist = q.select("query_id", F.col("e").alias("q")).join(b.select("db_id", "e"), F.lit(True)).select("query_id", "db_id", V.l2_distance(F.col("q"), F.col("e")).alias("sim"))
-    pos = top_k(dist.join(near(6.0), ["query_id", "db_id"], "left_semi"), 1, descending=False).select("query_id", F.col("db_id").alias("positive"))
-    neg = top_k(dist.join(near(12.0), ["query_id", "db_id"], "left_anti"), 10, descending=False).select("query_id", F.col("db_id").alias("negative"))
-    return pos.join(neg, "query_id")
+    q, b = p.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), p.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "db_id")
+    return T.mine_triplets(q, b, 6.0, 12.0, mode=mode, negatives=10, samples=samples, seed=3)
 
 
 @query()
+def m07_pca_fallback(spark, d):
+    """Fewer training rows than dimensions: both sides are first reduced together."""
+    v = X.vectors(spark, d).select("vec_id", "e")
+    train, test = L.reduce_pca(v.where("vec_id % 10 = 0").limit(40), v.where("vec_id % 10 <> 0"), "e", 8, low_factor=0.25, fallback=20)
+    return train.unionByName(test).select("vec_id", F.posexplode("e").alias("pos", "x"))
+
+
+def _centers_sql(rows: int, cols: int, th: int, tw: int) -> str:
+    return f"""WITH u AS (SELECT id, {_u("'42'", "id", "'x'")} AS ux, {_u("'42'", "id", "'y'")} AS uy, CAST(floor({_u("'42'", "id", "'tile'")} * {rows * cols}) AS BIGINT) AS t FROM (SELECT unnest(range(0, 2000)) AS id)),
+p AS (SELECT id, CAST(t % {cols} * {tw} + 168 + ux * {tw - 336} AS DOUBLE) AS cx, CAST(t // {cols} * {th} + 168 + uy * {th - 336} AS DOUBLE) AS cy FROM u)
+SELECT id, cx, cy FROM (SELECT *, row_number() OVER (PARTITION BY round_even(cx, 0), round_even(cy, 0) ORDER BY id) AS r FROM p) WHERE r = 1 ORDER BY id LIMIT 100"""
+
+
+@query(f"SELECT id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ({_centers_sql(1, 1, 4096, 4096)})")
 def m11_sample_query_centers(spark, d):
-    return L.sample_points(spark, 100, 4096, 4096, 168, 42)
+    return _rounded(L.sample_points(spark, 100, (4096, 4096), (336, 336), 42))
+
+
+@query(f"SELECT id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ({_centers_sql(8, 8, 512, 512)})")
+def m11_sample_inside_tiles(spark, d):
+    """Each query inside one tile."""
+    return _rounded(L.sample_points(spark, 100, (4096, 4096), (336, 336), 42, tile=(512, 512)))
+
+
+def _rounded(p):
+    return p.select("id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query()
@@ -350,6 +449,18 @@ def x14_pipeline_mains(spark, d):
     return retrieve(p.where("image_idx % 4 = 0"), p.where("image_idx % 4 <> 0"), gt, config, (5, 5)).metrics
 
 
+@query()
+def x14_segment_run(spark, d):
+    """A whole run by segments: residual vectors with position encodings, weighted votes, re-ranking, offsets, metrics."""
+    from tessella.config import PipelineConfig
+    from tessella.plans.pipeline import retrieve_segments
+
+    p, m = X.patches(spark, d), X.segments(spark, d).select("image_idx", "seg", "p")
+    gt = pairs(spark, d).select(F.col("query_idx").alias("query_id"), F.col("tile_idx").alias("gt"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    config = PipelineConfig(aggregation="vlad", top_k_vals=(1, 5), coarse_top_k=5, top_m=8, segment_top_k=10, vote="revisit_weighted_borda_image", centroid_weight=0.2, context_weight=0.1)
+    return retrieve_segments(p.where("image_idx % 4 = 0"), p.where("image_idx % 4 <> 0"), m, m, gt, config, (5, 5), centers=X.centers(spark, d)).metrics
+
+
 @query()
 def x01_extractor_interface(spark, d):
     """The plug-in without a network, over made-up pixels."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.config import PipelineConfig
 from tessella.functions import vector as V
 from tessella.functions.vector import r6
 from tessella.operators import pooling as P
@@ -12,11 +13,15 @@ from tessella.operators import retrieval as R
 from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
+from tessella.plans.pipeline import segment_vectors
 from tessella.queries.registry import query
+from tessella.stages import stored
 
 _PC = with_views("patches", "centers")
 _ASSIGN = """, sims AS (SELECT image_idx, p, row, col, k, round(list_cosine_similarity("desc", c), 9) AS sim, "desc", c FROM patches, centers),
 assigned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_idx, p ORDER BY sim DESC, k) AS r FROM sims) WHERE r = 1)"""
+_UPC = with_views("unit_patches", "patches", "centers")
+_UNIT_ASSIGN = _ASSIGN.replace("FROM patches", "FROM unit_patches")
 _DIM = "(SELECT unnest(range(1, 65)) AS i)"
 
 
@@ -36,7 +41,7 @@ def j15_assign_nearest_center(spark, d):
     return P.assign(X.patches(spark, d), X.centers(spark, d)).select("image_idx", "p", "k", F.round("sim", 6).alias("sim"))
 
 
-@query(f"{_PC}{_ASSIGN}, s AS (SELECT image_idx, k, i - 1 AS pos, sum(\"desc\"[i] - c[i]) AS x FROM assigned, {_DIM} GROUP BY ALL){_norms('s', 'image_idx')}")
+@query(f"{_UPC}{_UNIT_ASSIGN}, s AS (SELECT image_idx, k, i - 1 AS pos, sum(\"desc\"[i] - c[i]) AS x FROM assigned, {_DIM} GROUP BY ALL){_norms('s', 'image_idx')}")
 def a01_vlad_hard(spark, d):
     return long_(P.vlad(P.assign(P.normalized(X.patches(spark, d)), X.centers(spark, d)), ["image_idx"]))
 
@@ -44,7 +49,7 @@ def a01_vlad_hard(spark, d):
 _SOFT = ", e AS (SELECT image_idx, p, k, \"desc\", c, exp(list_cosine_similarity(\"desc\", c) - max(list_cosine_similarity(\"desc\", c)) OVER (PARTITION BY image_idx, p)) AS e FROM patches, centers), w AS (SELECT image_idx, p, k, \"desc\", c, e / sum(e) OVER (PARTITION BY image_idx, p) AS w FROM e)"
 
 
-@query(f"{_PC}{_SOFT}, t AS (SELECT i, sum(c[i]) AS t, count(*) AS n FROM centers, {_DIM} GROUP BY 1), s AS (SELECT image_idx, k, i - 1 AS pos, sum(w * (n * \"desc\"[i] - t)) AS x FROM w JOIN t ON true GROUP BY ALL){_norms('s', 'image_idx')}")
+@query(f"{_UPC}{_SOFT.replace('FROM patches', 'FROM unit_patches')}, t AS (SELECT i, sum(c[i]) AS t, count(*) AS n FROM centers, {_DIM} GROUP BY 1), s AS (SELECT image_idx, k, i - 1 AS pos, sum(w * (n * \"desc\"[i] - t)) AS x FROM w JOIN t ON true GROUP BY ALL){_norms('s', 'image_idx')}")
 def a02_vlad_soft(spark, d):
     return long_(P.vlad_soft(P.normalized(X.patches(spark, d)), X.centers(spark, d)))
 
@@ -78,7 +83,7 @@ def a06_cls_pool(spark, d):
 _ADJ = """, cent AS (SELECT image_idx, seg, avg(col) AS cx, avg(row) AS cy FROM segments GROUP BY 1, 2),
 near AS (SELECT a.image_idx, a.seg AS i, b.seg AS j, row_number() OVER (PARTITION BY a.image_idx, a.seg ORDER BY round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9), b.seg) AS r FROM cent a JOIN cent b ON a.image_idx = b.image_idx),
 adj AS (SELECT DISTINCT image_idx, i, j FROM (SELECT image_idx, i, j FROM near WHERE r <= 4 UNION ALL SELECT image_idx, j, i FROM near WHERE r <= 4 UNION ALL SELECT image_idx, seg, seg FROM cent))"""
-_EXP = f"{with_views('segments', 'centers')}{_ADJ}, expanded AS (SELECT DISTINCT a.image_idx, a.i AS seg, s.p FROM adj a JOIN segments s ON s.image_idx = a.image_idx AND s.seg = a.j)"
+_EXP = f"{with_views('segments', 'centers', 'unit_patches')}{_ADJ}, expanded AS (SELECT DISTINCT a.image_idx, a.i AS seg, s.p FROM adj a JOIN segments s ON s.image_idx = a.image_idx AND s.seg = a.j)"
 
 
 def adjacency(spark, d):
@@ -89,33 +94,25 @@ def expanded(spark, d):
     return P.expand_masks(X.segments(spark, d).select("image_idx", "seg", "p"), adjacency(spark, d))
 
 
-@query(f"{_EXP}{_ASSIGN}, s AS (SELECT x.image_idx, x.seg, k, i - 1 AS pos, sum(\"desc\"[i] - c[i]) AS x FROM expanded x JOIN assigned a ON a.image_idx = x.image_idx AND a.p = x.p, {_DIM} GROUP BY ALL){_norms('s', 'image_idx, seg')}")
+@query(f"{_EXP}{_UNIT_ASSIGN}, s AS (SELECT x.image_idx, x.seg, k, i - 1 AS pos, sum(\"desc\"[i] - c[i]) AS x FROM expanded x JOIN assigned a ON a.image_idx = x.image_idx AND a.p = x.p, {_DIM} GROUP BY ALL){_norms('s', 'image_idx, seg')}")
 def a07_segvlad(spark, d):
     return long_(P.segment_vlad(P.normalized(X.patches(spark, d)), X.centers(spark, d), expanded(spark, d)))
 
 
-@query(f"{_EXP}, s AS (SELECT x.image_idx, x.seg, i - 1 AS pos, avg(\"desc\"[i]) AS x FROM expanded x JOIN patches a ON a.image_idx = x.image_idx AND a.p = x.p, {_DIM} GROUP BY ALL) SELECT image_idx, seg, pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY image_idx, seg)), 1e-12), 6) + 0.0 AS x FROM s")
+@query(f"{_EXP}, s AS (SELECT x.image_idx, x.seg, i - 1 AS pos, avg(\"desc\"[i]) AS x FROM expanded x JOIN unit_patches a ON a.image_idx = x.image_idx AND a.p = x.p, {_DIM} GROUP BY ALL) SELECT image_idx, seg, pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY image_idx, seg)), 1e-12), 6) + 0.0 AS x FROM s")
 def a08_segment_average(spark, d):
     return long_(P.segment_average(X.patches(spark, d), expanded(spark, d)))
 
 
-_SEGHITS = """{views}, seg AS (SELECT image_idx, p AS s, "desc" AS v FROM patches WHERE p < 5), hits AS (SELECT query_idx, q_seg, image_idx, sim FROM (
-SELECT q.image_idx AS query_idx, q.s AS q_seg, b.image_idx, b.s, round(list_dot_product(q.v, b.v), 9) AS sim, row_number() OVER (PARTITION BY q.image_idx, q.s ORDER BY round(list_dot_product(q.v, b.v), 9) DESC, b.image_idx, b.s) AS r
-FROM seg q JOIN seg b ON q.image_idx % 4 = 0 AND b.image_idx % 4 <> 0) WHERE r <= 8), img AS (SELECT DISTINCT image_idx FROM patches WHERE image_idx % 4 <> 0), qs AS (SELECT query_idx, count(DISTINCT q_seg) AS n FROM hits GROUP BY 1)""".replace("{views}", with_views("patches"))
+_SEGHITS = """{views}, hits AS (SELECT query_idx, q_seg, image_idx, sim FROM (
+SELECT q.image_idx AS query_idx, q.p AS q_seg, b.image_idx, b.p, round(list_dot_product(q."desc", b."desc"), 9) AS sim, row_number() OVER (PARTITION BY q.image_idx, q.p ORDER BY round(list_dot_product(q."desc", b."desc"), 9) DESC, b.image_idx, b.p) AS r
+FROM unit_patches q JOIN unit_patches b ON q.image_idx % 4 = 0 AND b.image_idx % 4 <> 0) WHERE r <= 8)""".replace("{views}", with_views("unit_patches"))
 
 
 def segment_hits(spark, d, k=8):
-    """The k best database segments of each query segment; the first five patches of a grid stand for segments."""
-    s = X.patches(spark, d).where("p < 5")
-    q = s.where("image_idx % 4 = 0").select(F.col("image_idx").alias("query_idx"), F.col("p").alias("q_seg"), F.col("desc").alias("q"))
-    b = s.where("image_idx % 4 <> 0").select("image_idx", F.col("p").alias("seg"), F.col("desc").alias("e"))
-    sims = R.cosine_pairs(q, b).withColumn("sim", F.round("sim", 9))
-    w = Window.partitionBy("query_idx", "q_seg").orderBy(F.desc("sim"), "image_idx", "seg")
-    return sims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-
-
-def db_images(spark, d):
-    return X.patches(spark, d).where("image_idx % 4 <> 0").select("image_idx").distinct()
+    """The k best database segments of each query segment; the patches of a grid stand for segments."""
+    s = X.patches(spark, d).select("image_idx", F.col("p").alias("seg"), F.col("desc").alias("e"))
+    return R.segment_top_k(s.where("image_idx % 4 = 0"), s.where("image_idx % 4 <> 0"), k)
 
 
 @query(f"{_SEGHITS} SELECT query_idx, q_seg, image_idx, round(sim, 6) + 0.0 AS sim FROM hits")
@@ -123,14 +120,25 @@ def j02_segment_cross_join(spark, d):
     return segment_hits(spark, d).select("query_idx", "q_seg", "image_idx", r6(F.col("sim")).alias("sim"))
 
 
-@query(f"{_SEGHITS} SELECT q.query_idx, i.image_idx, round(coalesce(sum(h.sim), 0) / q.n, 6) + 0.0 AS score FROM qs q CROSS JOIN img i LEFT JOIN hits h ON h.query_idx = q.query_idx AND h.image_idx = i.image_idx GROUP BY q.query_idx, i.image_idx, q.n")
+_VOTES = """, n AS (SELECT query_idx, count(DISTINCT q_seg) AS n FROM hits GROUP BY 1), votes AS ({votes}),
+every AS (SELECT q.query_idx, i.image_idx, coalesce(v.score, 0) AS score FROM (SELECT DISTINCT query_idx FROM hits) q CROSS JOIN (SELECT DISTINCT image_idx FROM unit_patches WHERE image_idx % 4 <> 0) i LEFT JOIN votes v ON v.query_idx = q.query_idx AND v.image_idx = i.image_idx)
+SELECT query_idx, rank, image_idx, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY round(score, 9) DESC, image_idx) AS rank FROM every) WHERE rank <= 12"""
+
+
+def _ranked(votes, spark, d):
+    images = X.patches(spark, d).where("image_idx % 4 <> 0").select("image_idx").distinct()
+    return R.rank_votes(votes, images, 12).select("query_idx", "rank", "image_idx", r6(F.col("score")).alias("score"))
+
+
+@query(_SEGHITS + _VOTES.replace("{votes}", "SELECT query_idx, image_idx, sum(sim) / max(n) AS score FROM hits JOIN n USING (query_idx) GROUP BY 1, 2"))
 def a09_vote_sum(spark, d):
-    return R.vote_sum(segment_hits(spark, d), db_images(spark, d)).select("query_idx", "image_idx", r6(F.col("score")).alias("score"))
+    """The twelve images of most votes; those without a hit have 0."""
+    return _ranked(R.vote_sum(segment_hits(spark, d)), spark, d)
 
 
-@query(f"{_SEGHITS}, z AS (SELECT query_idx, image_idx, (sim - min(sim) OVER (PARTITION BY query_idx)) / greatest(max(sim) OVER (PARTITION BY query_idx) - min(sim) OVER (PARTITION BY query_idx), 1e-12) AS z FROM hits) SELECT q.query_idx, i.image_idx, round(coalesce(sum(z), 0), 6) + 0.0 AS score FROM qs q CROSS JOIN img i LEFT JOIN z ON z.query_idx = q.query_idx AND z.image_idx = i.image_idx GROUP BY 1, 2")
+@query(_SEGHITS + _VOTES.replace("{votes}", "SELECT query_idx, image_idx, sum(z) AS score FROM (SELECT query_idx, image_idx, (sim - min(sim) OVER (PARTITION BY query_idx)) / greatest(max(sim) OVER (PARTITION BY query_idx) - min(sim) OVER (PARTITION BY query_idx), 1e-12) AS z FROM hits) GROUP BY 1, 2"))
 def a10_vote_weighted(spark, d):
-    return R.vote_weighted(segment_hits(spark, d), db_images(spark, d)).select("query_idx", "image_idx", r6(F.col("score")).alias("score"))
+    return _ranked(R.vote_weighted(segment_hits(spark, d)), spark, d)
 
 
 @query(f"{with_views('segments')} SELECT image_idx, seg, round(avg(col), 6) AS cx, round(avg(row), 6) AS cy, round(avg(col) + 0.5, 6) AS px, round(avg(row) + 0.5, 6) AS py, round((avg(col) + 0.5) / 5, 6) AS nx, round((avg(row) + 0.5) / 5, 6) AS ny FROM segments GROUP BY 1, 2")
@@ -171,6 +179,16 @@ def a15_segment_score(spark, d):
     return r.groupBy("image_idx", "seg").agg(r6(F.avg(V.cosine(F.col("desc"), F.col("c")))).alias("mean_score"), r6(F.max(V.cosine(F.col("desc"), F.col("c")))).alias("max_score"))
 
 
+@query(f"{_PC}, near AS (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY round(avg(list_cosine_similarity(\"desc\", c)), 9) DESC, k) AS r FROM patches, centers GROUP BY 1) WHERE r = 1), {with_views('segments')[with_views('segments').index('segments AS'):]}, s AS (SELECT image_idx, seg, list_cosine_similarity(\"desc\", c) AS x, sqrt(list_dot_product(\"desc\", \"desc\")) AS n FROM segments JOIN patches USING (image_idx, p), centers JOIN near USING (k)) SELECT image_idx, seg, round(avg(x), 6) + 0.0 AS response, round(max(n), 6) AS norm FROM s GROUP BY 1, 2")
+def a15_segment_score_free(spark, d):
+    """Scores by the centre that all patches respond to most, and by the length of the patch vectors."""
+    p, c, s = X.patches(spark, d), X.centers(spark, d), X.segments(spark, d).select("image_idx", "seg", "p")
+    best = S.most_responsive(p, c)
+    a = S.segment_scores(s, S.patch_response(p, c.where(F.col("k") == best)), "mean").withColumnRenamed("score", "response")
+    b = S.segment_scores(s, S.patch_response(p), "max").withColumnRenamed("score", "norm")
+    return a.join(b, ["image_idx", "seg"]).select("image_idx", "seg", r6(F.col("response")).alias("response"), F.round("norm", 6).alias("norm"))
+
+
 @query(f"{_PC}{_SOFT} SELECT k, strength FROM (SELECT k, round(avg(w), 6) AS strength, row_number() OVER (ORDER BY round(avg(w), 9) DESC, k) AS r FROM w GROUP BY 1) WHERE r <= 4")
 def a16_soft_cluster_strength(spark, d):
     m = P.soft_weights(X.patches(spark, d), X.centers(spark, d), 1.0).groupBy("k").agg(F.avg("w").alias("w"))
@@ -250,13 +268,30 @@ def v08_relative_context_pe(spark, d):
     return S.context_encoding(S.centroids(X.segments(spark, d)), adjacency(spark, d), 5, 5, 2).select("image_idx", "seg", "base", "f", r6(F.col("s")).alias("s"), r6(F.col("c")).alias("c"))
 
 
+_A07 = f"""{_EXP}{_UNIT_ASSIGN}, sums AS (SELECT x.image_idx, x.seg, k, i, sum("desc"[i] - c[i]) AS x FROM expanded x JOIN assigned a ON a.image_idx = x.image_idx AND a.p = x.p, {_DIM} GROUP BY ALL),
+blocks AS (SELECT *, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY image_idx, seg, k)), 1e-12) AS b FROM sums), whole AS (SELECT image_idx, seg, sum(b * b) / greatest(sum(b * b), 1e-24) AS vv FROM blocks GROUP BY 1, 2),
+own AS (SELECT image_idx, seg, f * 4 + o AS pos, CASE o WHEN 0 THEN sin(x * w) WHEN 1 THEN cos(x * w) WHEN 2 THEN sin(y * w) ELSE cos(y * w) END AS e FROM (SELECT image_idx, seg, (cx + 0.5) / 5 AS x, (cy + 0.5) / 5 AS y, pow(2.0, f) * pi() AS w, f, o FROM cent, (SELECT unnest(range(0, 2)) AS f), (SELECT unnest(range(0, 4)) AS o)))
+SELECT image_idx, seg, CAST(pos AS BIGINT) AS pos, round(0.3 * e / greatest(sqrt(vv + sum(0.09 * e * e) OVER (PARTITION BY image_idx, seg)), 1e-12), 6) + 0.0 AS x FROM own JOIN whole USING (image_idx, seg)"""
+
+
+@query(_A07)
+def a07_segvlad_encoded(spark, d):
+    """What a weighted encoding of the centroids adds to the segment vectors: the positions after the residual blocks."""
+    c = X.centers(spark, d)
+    config = PipelineConfig(aggregation="vlad", neighbours=4, centroid_frequencies=2, centroid_weight=0.3)
+    v = segment_vectors(X.patches(spark, d), X.segments(spark, d).select("image_idx", "seg", "p"), config, (5, 5), c)
+    tail = v.select("image_idx", "seg", F.posexplode(F.slice("v", F.size("v") - 7, 8)).alias("pos", "x"))
+    return tail.select("image_idx", "seg", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"))
+
+
 @query(f"{with_views('patches')}, s AS (SELECT image_idx, i - 1 AS pos, avg(\"desc\"[i]) AS x FROM patches, {_DIM} GROUP BY 1, 2) SELECT image_idx, 'image_' || image_idx AS relpath, CAST(count(*) AS BIGINT) AS dims, round(sqrt(sum((x / nn) ** 2)), 6) AS norm FROM (SELECT *, greatest(sqrt(sum(x * x) OVER (PARTITION BY image_idx)), 1e-12) AS nn FROM s) GROUP BY 1")
 def x15_feature_bank_build(spark, d):
     images = X.patches(spark, d).select("image_idx").distinct().withColumn("relpath", F.concat(F.lit("image_"), F.col("image_idx")))
-    bank = P.pool(X.patches(spark, d), "gap", ["image_idx"]).groupBy("image_idx").agg(F.count(F.lit(1)).alias("dims"), F.round(F.sqrt(F.sum(F.col("x") ** 2)), 6).alias("norm"))
+    bank = P.pooled(X.patches(spark, d), "gap", ["image_idx"]).select("image_idx", F.size("v").cast("long").alias("dims"), F.round(V.norm(F.col("v")), 6).alias("norm"))
     return images.join(bank, "image_idx")
 
 
 @query(f"{_PC}{_ASSIGN} SELECT image_idx, row, col, k, round(sim, 6) AS sim FROM assigned")
 def k12_write_assignments(spark, d):
-    return P.assign(X.patches(spark, d), X.centers(spark, d)).select("image_idx", "row", "col", "k", F.round("sim", 6).alias("sim"))
+    """Assignments of every patch, written and read back."""
+    return stored(P.assign(X.patches(spark, d), X.centers(spark, d)).select("image_idx", "row", "col", "k", F.round("sim", 6).alias("sim")), "assignments")

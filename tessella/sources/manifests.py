@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.stages import stored
+
 #: Wrappers of a manifest's list, the first one present wins.
 WRAPPERS = ("items", "tiles", "queries", "data")
 KNOWN_KEYS = ("tile_id", "query_id", "image", "center", "extent", "gt_tile_id", "offset", "coord", "positives")
@@ -66,6 +68,17 @@ def load_tiles_queries(spark: SparkSession, root: str, split: str = "test") -> t
     return out[0], out[1]
 
 
+# Where a saved run names its data set's root.
+ROOT_FIELDS = ("$['Run-Config'].cvgl_dataset_root", "$['Run-Config'].dataset_root", "$['CVGL-Dataset']")
+
+
+def dataset_root(results: DataFrame, given: str | None = None) -> DataFrame:
+    """results: json (a saved run).  root: the one given, else the one of its configuration, else an error."""
+    v = F.parse_json("json")
+    told = F.coalesce(F.lit(given), *[F.try_variant_get(v, f, "string") for f in ROOT_FIELDS])
+    return results.select(F.coalesce(told, F.raise_error(F.lit("the run names no data set root")).cast("string")).alias("root"))
+
+
 def rankings_of(results: DataFrame) -> DataFrame:
     """results: json (a saved run).  query_row, rank, pos, from the most final ranking that is there."""
     v = F.parse_json("json")
@@ -92,11 +105,44 @@ def pose_lines(lines: DataFrame) -> DataFrame:
     return lines.select(*[f[i].cast("double").alias(c) for i, c in zip((1, 2, 3), "xyz")])
 
 
+def read_poses(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z of a pose file: text lines, or the first array of an .npz; a missing file gives no rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], "x double, y double, z double")
+    if not path.endswith(".npz"):
+        return pose_lines(spark.read.text(path))
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for raw in b.content:
+                a = np.load(io.BytesIO(raw), allow_pickle=False)["arr_0"].reshape(-1, 3).astype(float)
+                yield pd.DataFrame(a, columns=["x", "y", "z"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "x double, y double, z double")
+
+
 def unpivot_truth(wide: DataFrame, n: int = 5) -> DataFrame:
     """query_ind, top_1_ref_ind ... to query_ind, rank, ref."""
     return wide.select("query_ind", F.posexplode(F.array(*[F.col(f"top_{i}_ref_ind") for i in range(1, n + 1)])).alias("rank", "ref")).select("query_ind", (F.col("rank") + 1).cast("long").alias("rank"), "ref")
 
 
+def truth_lists(spark: SparkSession, path: str) -> DataFrame:
+    """query, positive of a saved list: JSON lines of {query, positives}, or a table with such columns."""
+    rows = spark.read.json(path, schema="query long, positives array<long>") if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return rows.select("query", F.explode("positives").alias("positive"))
+
+
+def file_number(path: Column) -> Column:
+    """The number that a file is named by."""
+    return F.split(F.element_at(F.split(path, "/"), -1), r"\.")[0].cast("long")
+
+
 def remap_truth(truth: DataFrame, queries: DataFrame, db: DataFrame) -> DataFrame:
     """truth: query, positive by file number; queries, db: number, idx.  Truth among the files that are there, by index."""
     q, p = queries.toDF("query", "query_idx"), db.toDF("positive", "db_idx")
@@ -123,6 +169,14 @@ def labeled_names(files: DataFrame) -> DataFrame:
     return files.select("path", f[1].alias("split"), f[2].alias("view"), class_id.alias("class_id"), name.alias("name"))
 
 
+def keyed_descriptors(files: DataFrame, key: str) -> DataFrame:
+    """files: id, arrays (map of name to array of vectors, or of rows of vectors).  id, n, desc of the array of that name, flattened; without it an error."""
+    got = F.try_element_at("arrays", F.lit(key))
+    checked = F.when(got.isNull(), F.raise_error(F.concat(F.lit(f"no {key} in "), F.col("id").cast("string"))).cast(files.schema["arrays"].dataType.valueType)).otherwise(got)
+    deep = files.schema["arrays"].dataType.valueType.simpleString().startswith("array<array<array<")
+    return files.select("id", F.posexplode(F.flatten(checked) if deep else checked).alias("n", "desc"))
+
+
 def load_descriptors(rows: DataFrame) -> DataFrame:
     """rows: id, desc.  The same, or an error: empty, not finite, or of mixed lengths."""
     from tessella.functions import vector as V
@@ -136,7 +190,7 @@ def load_descriptors(rows: DataFrame) -> DataFrame:
 
 def with_index(rows: DataFrame, order: str, name: str) -> DataFrame:
     """A gapless index from 0 by `order`: ranges are dealt out, ranked alone and then shifted by the sizes before them."""
-    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = stored(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "indexed")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1

@@ -24,12 +24,12 @@ def plain(x):
 
 
 def same(a, b):
-    return all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, abs_tol=2e-6)) for x, y in zip(a, b))
+    return a == b
 
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=lambda r: repr([round(x, 3) + 0.0 if isinstance(x, float) else x for x in r]))
+    return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
 def compare(spark, con, sf_dir, query, sql):

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 
 from tessella import models
 from tessella.config import PipelineConfig
+from tessella.functions import paths as N
 from tessella.functions import vector as V
 from tessella.operators import evaluation as E
+from tessella.operators import joins as J
+from tessella.operators import learning as L
 from tessella.operators import masks as K
+from tessella.operators import mining as T
 from tessella.operators import pooling as P
 from tessella.operators import retrieval as R
+from tessella.operators import segments as S
 from tessella.plans import fixtures as X
-from tessella.plans.pipeline import image_vectors
+from tessella.plans.pipeline import image_vectors, retrieve_segments, segment_vectors
+from tessella.profile import Profile
 from tessella.sinks import tables as W
 from tessella.sources import files as FS
 from tessella.sources import manifests as M
@@ -60,10 +66,10 @@ def test_signed_root(spark):
 def test_votes(spark):
     hits = spark.createDataFrame([(1, 0, 10, -0.5), (1, 1, 11, -0.1), (1, 0, 11, -0.4)], "query_idx long, q_seg long, image_idx long, sim double")
     images = spark.createDataFrame([(10,), (11,), (12,)], "image_idx long")
-    s = {r["image_idx"]: round(r["score"], 6) for r in R.vote_sum(hits, images).collect()}
-    assert s == {10: -0.25, 11: -0.25, 12: 0.0}  # without a hit: 0, above negative sums
-    w = {r["image_idx"]: round(r["score"], 6) for r in R.vote_weighted(hits, images).collect()}
-    assert w == {10: 0.0, 11: 1.25, 12: 0.0}
+    by = lambda v: [(r["image_idx"], round(r["score"], 6)) for r in R.rank_votes(v, images, 3).orderBy("rank").collect()]
+    assert by(R.vote_sum(hits)) == [(12, 0.0), (10, -0.25), (11, -0.25)]  # without a hit: 0, above negative sums
+    assert by(R.vote_weighted(hits)) == [(11, 1.25), (10, 0.0), (12, 0.0)]
+    assert [r["image_idx"] for r in R.rank_votes(R.vote_sum(hits), images, 1).collect()] == [12]
 
 
 def test_recall_skips_queries_without_truth(spark):
@@ -169,3 +175,253 @@ def test_queries_without_sql_take_all_rows(spark):
     assert {(r["grp"], r["box_id"]) for r in QUERIES["g15_nms"](spark, SF).collect()} == want
     images = QUERIES["x01_extractor_interface"](spark, SF).select("image_idx").distinct().count()
     assert images == X.table(spark, SF, "supplier").count() > 5
+
+
+def _matrix(df, key="vec_id", vec="e"):
+    rows = df.select(key, vec).orderBy(key).collect()
+    return np.array([r[vec] for r in rows])
+
+
+def test_pca_against_numpy(spark):
+    """Same subspace, same scores up to sign; whitened scores have unit spread before unit length."""
+    v = X.vectors(spark, SF)
+    train, every = _matrix(v.where("vec_id % 10 <> 0")), _matrix(v)
+    got = _matrix(L.pca(v.where("vec_id % 10 <> 0"), "e", 8, whiten=True)(v.select("vec_id", "e")))
+    _, s, axes = np.linalg.svd(train - train.mean(0), full_matrices=False)
+    want = (every - train.mean(0)) @ axes[:8].T / (s[:8] / np.sqrt(len(train) - 1))
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+    low = _matrix(L.pca(v, "e", 8, low_factor=0.25)(v.select("vec_id", "e")))
+    _, _, axes = np.linalg.svd(every - every.mean(0), full_matrices=False)
+    want = (every - every.mean(0)) @ np.concatenate([axes[:6], axes[-2:]]).T
+    assert np.allclose(np.abs(low), np.abs(want / np.linalg.norm(want, axis=1, keepdims=True)), atol=1e-5)
+
+
+def test_pca_fallback(spark):
+    v = X.vectors(spark, SF).select("vec_id", "e")
+    train, test = v.where("vec_id < 40"), v.where("vec_id >= 40")
+    a, b = L.reduce_pca(train, test, "e", 8, low_factor=0.25, fallback=20)
+    x, n = _matrix(v), 40
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    down = (x - x.mean(0)) @ axes[:20].T
+    _, _, axes = np.linalg.svd(down[:n] - down[:n].mean(0), full_matrices=False)
+    want = (down - down[:n].mean(0)) @ np.concatenate([axes[:6], axes[-2:]]).T
+    assert np.allclose(np.abs(np.concatenate([_matrix(a), _matrix(b)])), np.abs(want), atol=1e-6)
+    with pytest.raises(ValueError, match="fallback"):
+        L.reduce_pca(train, test, "e", 8, low_factor=0.25, fallback=4)
+
+
+def test_vocabularies_leave_little(spark):
+    """The fit is about as good as the best of ten starts of plain Lloyd steps, and better than its own start."""
+    p = X.patches(spark, SF)
+    x = _matrix(p.withColumn("key", F.col("image_idx") * 25 + F.col("p")), "key", "desc")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = 9.0
+    for seed in range(10):
+        c = x[np.random.default_rng(seed).choice(len(x), 8, replace=False)]
+        for _ in range(20):
+            near = (x @ c.T).argmax(1)
+            c = np.array([x[near == k].sum(0) if (near == k).any() else c[k] for k in range(8)])
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
+        best = min(best, float((1 - (x @ c.T).max(1)).mean()))
+    left = L.inertia(p.select("image_idx", "p", "desc"), L.fit_vocabulary(p, 8)).first()
+    assert left["n"] == len(x) and left["inertia"] < best * 1.05
+    from tessella.queries import QUERIES
+
+    swept = {r["tiles"]: r["inertia"] for r in QUERIES["m03_vocabulary_sweep"](spark, SF).collect()}
+    assert sorted(swept) == [1, 4, 8, 16, 64] and swept[64] <= swept[1] + 1e-9
+    with pytest.raises(ValueError, match="descriptors"):
+        L.fit_vocabulary(p.limit(3), 4)
+
+
+def test_delaunay_circles_are_empty(spark):
+    """Every triangle of edges without a point inside has no point in its circle; edges agree with the operator's table."""
+    rng = np.random.default_rng(5)
+    pts = rng.random((14, 2))
+    edges = K.triangulate([tuple(p) for p in pts])
+    circle = lambda i, j, k: np.linalg.solve(2 * np.array([pts[j] - pts[i], pts[k] - pts[i]]), [pts[j] @ pts[j] - pts[i] @ pts[i], pts[k] @ pts[k] - pts[i] @ pts[i]])
+    want = set()
+    for i in range(14):
+        for j in range(i):
+            for k in range(j):
+                c = circle(i, j, k)
+                if all(np.linalg.norm(pts[m] - c) >= np.linalg.norm(pts[i] - c) - 1e-12 for m in range(14)):
+                    want |= {(j, i), (k, j), (k, i)}
+    assert edges == want
+    df = spark.createDataFrame([(1, s, float(x), float(y)) for s, (x, y) in enumerate(pts)], "image_idx long, seg long, cx double, cy double")
+    assert {(r["i"], r["j"]) for r in K.delaunay_adjacency(df).collect()} == want | {(b, a) for a, b in want} | {(i, i) for i in range(14)}
+
+
+def _regions(grid):
+    label = np.where(grid, np.arange(grid.size).reshape(grid.shape) + 1, 0)
+    while True:
+        wide = np.pad(label, 1)
+        near = np.max([wide[1 + a : 1 + a + grid.shape[0], 1 + b : 1 + b + grid.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0) * grid
+        if (near == label).all():
+            return label
+        label = near
+
+
+@pytest.mark.parametrize("mode", ["holes", "islands"])
+def test_small_regions_by_brute_force(spark, mode):
+    rng = np.random.default_rng(1)
+    grids = {i: rng.random((6, 7)) < 0.5 for i in range(20)}
+    cells = spark.createDataFrame([(i, int(r), int(c)) for i, g in grids.items() for r, c in zip(*np.nonzero(g))], "mask_id long, row long, col long")
+    got = {}
+    for r in K.small_regions(cells, 6, 7, 4, mode).collect():
+        got.setdefault(r["mask_id"], set()).add((r["row"], r["col"]))
+    for i, g in grids.items():
+        label = _regions(~g if mode == "holes" else g)
+        sizes = {x: int((label == x).sum()) for x in np.unique(label) if x}
+        small = np.isin(label, [x for x, n in sizes.items() if n < 4])
+        if mode == "holes":
+            want = g | small
+            assert got[i] == set(zip(*map(list, np.nonzero(want))))
+        else:
+            want = g & ~small
+            if want.any():
+                assert got[i] == set(zip(*map(list, np.nonzero(want))))
+            else:
+                assert len(got[i]) == max(sizes.values())
+
+
+def test_clean_masks(spark):
+    full = [(1, 1, r, c) for r in range(5) for c in range(5)]
+    holed = [(1, 2, r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)]
+    apart = [(1, 3, 0, 0)] + [(2, 4, r, c) for r in range(3) for c in range(3)]
+    df = spark.createDataFrame(full + holed + apart, "image_idx long, mask_id long, row long, col long")
+    kept = {(r["image_idx"], r["mask_id"]) for r in K.clean_masks(df, 5, 5, 3).collect()}
+    assert kept == {(1, 1), (1, 3), (2, 4)}  # the filled one is a copy of the whole one, which has not changed
+
+
+def test_random_triplets(spark):
+    p = X.vectors(spark, SF).select("vec_id", "e", (F.col("e")[0] * 100).alias("x"), (F.col("e")[1] * 100).alias("y"))
+    q, b = p.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), p.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "db_id")
+    at = {r["vec_id"]: (r["x"], r["y"]) for r in p.select("vec_id", "x", "y").collect()}
+    far = lambda i, j: np.hypot(at[i][0] - at[j][0], at[i][1] - at[j][1])
+    rows = T.mine_triplets(q, b, 6.0, 12.0, mode="random", negatives=10).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["query_id"], set()).add(r["negative"])
+        assert far(r["query_id"], r["positive"]) <= 6 and far(r["query_id"], r["negative"]) > 12
+    assert rows and {len(n) for n in by.values()} == {10}
+    assert rows == T.mine_triplets(q.repartition(7), b.repartition(3), 6.0, 12.0, mode="random", negatives=10).collect() or set(rows) == set(T.mine_triplets(q.repartition(7), b.repartition(3), 6.0, 12.0, mode="random", negatives=10).collect())
+    weighted = T.sample_queries(q.withColumn("weight", (F.col("query_id") < 100).cast("double")), 6, 1, "weight").collect()
+    assert len(weighted) == 6 and all(r["query_id"] < 100 for r in weighted)
+    with pytest.raises(ValueError, match="mode"):
+        T.mine_triplets(q, b, 6.0, 12.0, mode="other")
+
+
+def test_segment_run(spark):
+    p, m = X.patches(spark, SF), X.segments(spark, SF).select("image_idx", "seg", "p")
+    gt = p.where("image_idx % 4 = 0").select(F.col("image_idx").alias("query_id"), (F.col("image_idx") + 1).alias("gt"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).distinct()
+    config = PipelineConfig(aggregation="gap", top_k_vals=(1, 5), coarse_top_k=5, top_m=8, segment_top_k=6, rerank=False, offset="sim_map")
+    # tiles that hold the queries' own patches are found first
+    tiles = p.where("image_idx % 4 = 0").withColumn("image_idx", F.col("image_idx") + 1)
+    masks = m.where("image_idx % 4 = 0").withColumn("image_idx", F.col("image_idx") + 1)
+    run = retrieve_segments(p.where("image_idx % 4 = 0"), tiles, m, masks, gt, config, (5, 5))
+    assert run.metrics.first()["recall_1"] == 1.0 and run.bank.columns == ["image_idx", "seg", "v"]
+    both = [segment_vectors(p, m, PipelineConfig(aggregation="gap", centroid_weight=w, context_weight=w), (5, 5)).where("image_idx = 0").collect() for w in (0.0, 0.5)]
+    assert {len(r["v"]) for r in both[0]} == {64} and {len(r["v"]) for r in both[1]} == {64 + 16 + 20}
+    assert all(abs(np.linalg.norm(r["v"]) - 1) < 1e-9 for rows in both for r in rows)
+    with pytest.raises(ValueError):
+        segment_vectors(p, m, PipelineConfig(aggregation="cls"), (5, 5))
+
+
+def test_upsampling(spark):
+    cells = spark.createDataFrame([(0, r, c, float(r * 10 + c)) for r in range(3) for c in range(4)], "image_idx long, row long, col long, v double")
+    got = {(r["y"], r["x"]): r["v"] for r in S.upsample_bilinear(cells, (3, 4), (6, 8)).collect()}
+    grid = np.arange(3)[:, None] * 10.0 + np.arange(4)[None, :]
+    want = FS.resized(grid[:, :, None], 6, 8)[:, :, 0]
+    assert len(got) == 48 and all(abs(got[y, x] - want[y, x]) < 1e-9 for y, x in got)
+
+
+def test_transforms():
+    image = np.arange(6 * 9 * 3, dtype=float).reshape(6, 9, 3)
+    assert FS.transformed(image)[0] is image
+    crops = FS.transformed(image, "five_crops", (4, 4))
+    assert [c.shape for c in crops] == [(4, 4, 3)] * 5 and crops[0][0, 0, 0] < crops[1][0, 0, 0] and crops[0][0, 0, 0] <= crops[4][0, 0, 0] <= crops[3][0, 0, 0]
+    assert FS.transformed(image, "shorter_side", (4, 8))[0].shape == (4, 6, 3) and FS.transformed(image, "central_crop", (4, 8))[0].shape == (4, 8, 3)
+    assert np.allclose(FS.resized(image, 6, 9), image)
+    with pytest.raises(ValueError):
+        FS.transformed(image, "other")
+
+
+def test_sources_that_fail(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        FS.list_files(spark, str(tmp_path / "none"))
+    for name in ("b.PNG", "a.jpg", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    listed = FS.list_files(spark, str(tmp_path), (".jpg", ".png"), recursive=False)
+    assert [r["path"].rsplit("/", 1)[1] for r in listed.collect()] == ["a.jpg", "b.PNG"]
+    assert FS.list_files(spark, str(tmp_path), recursive=False, limit=1).count() == 1
+    i = spark.createDataFrame([("a",), ("b",)], "image string")
+    with pytest.raises(Exception, match="generator"):
+        FS.choose_masks(i, i.where("image = 'a'"), i.limit(0), "generate").collect()
+    assert {(r["image"], r["source"]) for r in FS.choose_masks(i, i.where("image = 'a'"), i, "manifest").collect()} == {("a", "manifest"), ("b", "none")}
+    t = spark.createDataFrame([(1, 7, 0), (2, 7, 0)], "sat_id long, class_id long, view long")
+    u = spark.createDataFrame([(5, 7, 1)], "uav_id long, class_id long, view long")
+    assert {(r["sat_id"], r["uav_id"]) for r in J.one_to_one(t, u).collect()} == {(1, 5), (2, None)}
+    with pytest.raises(Exception, match="no image left"):
+        J.one_to_one(t, u, strict=True).collect()
+    classes = spark.createDataFrame([(1,), (2,)], "class_id long")
+    with pytest.raises(ValueError, match="classes"):
+        J.missing_classes(classes, classes.where("class_id = 1"), strict=True)
+    assert M.read_poses(spark, str(tmp_path / "no.txt")).count() == 0
+    (tmp_path / "poses.txt").write_text("a 1 2 3 9\nb 4 5 6 9\n")
+    np.savez(tmp_path / "poses.npz", np.array([[1.0, 2, 3], [4, 5, 6]]))
+    for name in ("poses.txt", "poses.npz"):
+        assert sorted(tuple(r) for r in M.read_poses(spark, str(tmp_path / name)).collect()) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    (tmp_path / "truth.json").write_text('{"query": 0, "positives": [3, 4]}\n{"query": 1, "positives": []}\n')
+    assert sorted(tuple(r) for r in M.truth_lists(spark, str(tmp_path / "truth.json")).collect()) == [(0, 3), (0, 4)]
+    numbers = spark.createDataFrame([("x/0012.jpg",)], "p string").select(M.file_number(F.col("p")).alias("n")).first()
+    assert numbers["n"] == 12
+    runs = spark.createDataFrame([('{"Run-Config": {"dataset_root": "/r"}}',)], "json string")
+    assert M.dataset_root(runs).first()["root"] == "/r" and M.dataset_root(runs, "/g").first()["root"] == "/g"
+    with pytest.raises(Exception, match="root"):
+        M.dataset_root(spark.createDataFrame([("{}",)], "json string")).collect()
+    arrays = spark.createDataFrame([(1, {"d": [[[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0], [7.0, 8.0]]]})], "id long, arrays map<string, array<array<array<double>>>>")
+    assert [r["desc"] for r in M.keyed_descriptors(arrays, "d").orderBy("n").collect()] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0]]
+    with pytest.raises(Exception, match="no other"):
+        M.keyed_descriptors(arrays, "other").collect()
+    with pytest.raises(Exception, match="size mismatch"):
+        spark.createDataFrame([(3, 4)], "h int, w int").select(N.checked_size(F.col("h"), F.col("w"), (4, 4))).collect()
+
+
+def test_writers(spark, tmp_path):
+    p = X.patches(spark, SF).where("image_idx < 2").select("image_idx", "p", "desc")
+    one = W.write_patches(p, str(tmp_path / "patches"), PipelineConfig().key())
+    two = W.write_patches(p.limit(0), str(tmp_path / "patches"), PipelineConfig().key())
+    assert one.count() == two.count() == 50  # what is there is kept
+    W.write_vocabulary(X.centers(spark, SF), str(tmp_path / "vocabulary"), seed=42)
+    assert spark.read.parquet(str(tmp_path / "vocabulary/centers")).count() == X.centers(spark, SF).count()
+    assert json.loads(spark.read.text(str(tmp_path / "vocabulary/facts")).first()[0]) == {"num_clusters": X.centers(spark, SF).count(), "seed": 42}
+    metrics = spark.createDataFrame([(0.5, 3)], "map double, n_valid long")
+    assert W.write_metrics(metrics, str(tmp_path / "ap"), "Coarse-") == json.loads(spark.read.text(str(tmp_path / "ap")).first()[0]) == {"Coarse-map": 0.5, "Coarse-n_valid": 3}
+    ranking = spark.createDataFrame([(1, 1, 9, 0.5), (1, 2, 8, 0.25)], "query_id long, rank long, db_id long, sim double")
+    offsets = spark.createDataFrame([(1, 2.0, 3.0)], "query_idx long, px double, py double")
+    W.write_run({"k": 2}, {"R@1": 1.0}, ranking, str(tmp_path / "run"), offsets=offsets)
+    result, back = W.read_run(spark, str(tmp_path / "run"))
+    assert result == {"R@1": 1.0, "Run-Config": {"k": 2}} and back.count() == 2 and spark.read.json(str(tmp_path / "run/offsets")).count() == 1
+    runs = spark.createDataFrame([(1, [0, 4], 2, 2)], "id long, counts array<long>, height long, width long")
+    table = spark.createDataFrame([tuple(float(i) for i in range(len(W.MASK_COLUMNS)))], list(W.MASK_COLUMNS))
+    W.write_mask_table(table, str(tmp_path / "masks"), runs)
+    assert spark.read.json(str(tmp_path / "masks/rle")).first()["segmentation"]["counts"] == [0, 4]
+    seen = []
+    assert not W.log_run(result) and W.log_run(result, type("Log", (), {"log": lambda self, x: seen.append(x)})()) and seen == [result]
+
+
+def test_profile_and_models(spark):
+    profile = Profile()
+    for _ in range(2):
+        with profile.timed("search"):
+            profile.count("queries", 5)
+    assert profile.per_query(10)["queries"] == 1.0 and profile.per_query(0)["queries"] == 10.0 and profile.values["search"] >= 0
+    table = np.concatenate([[[9.0]], np.full((6, 1), 2.0)])
+    out = models.resize_position_table(table, (2, 3), (4, 5))
+    assert out.shape == (21, 1) and np.allclose(out[1:], 2.0) and out[0, 0] == 9.0
+    ramp = models.resize_position_table(np.arange(16.0).reshape(16, 1), (4, 4), (8, 8), prefix=0).reshape(8, 8)
+    assert (np.diff(ramp, axis=1) > 0).all() and np.allclose(ramp + ramp[::-1, ::-1], 15.0)
+    scores = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, 0.7)], "image_idx long, mask long, iou double")
+    assert models.best_mask(scores, 1).first()["mask"] == 2 and models.best_mask(scores, 4).first()["mask"] == 0

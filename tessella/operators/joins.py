@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.sources.manifests import with_index
 
@@ -34,9 +33,14 @@ def angle_filter(pairs: DataFrame, left: list[str], right: list[str], most: floa
 
 
 def class_join(queries: DataFrame, tiles: DataFrame) -> DataFrame:
-    """queries: query_id, class_id; tiles: tile_id, class_id, pos.  All tiles of the class are positives, the first by pos is the truth; queries without one stay."""
-    of = tiles.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tile_id"))).alias("t"))
-    return queries.join(of, "class_id", "left").select("query_id", "class_id", F.transform("t", lambda x: x["tile_id"]).alias("positives"), F.try_element_at("t", F.lit(1))["tile_id"].alias("gt"))
+    """queries: query_id, class_id; tiles: tile_id, class_id.  A row for each query and tile of its class; queries without one have null."""
+    return queries.join(tiles.select("class_id", "tile_id"), "class_id", "left").select("query_id", "class_id", "tile_id")
+
+
+def class_truth(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tiles: tile_id, class_id, pos.  query_id, class_id, n (tiles of the class) and gt (the first by pos), without pairing queries with tiles."""
+    of = tiles.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("tile_id", F.struct("pos", "tile_id")).alias("gt"))
+    return queries.join(of, "class_id", "left").select("query_id", "class_id", F.coalesce("n", F.lit(0)).alias("n"), "gt")
 
 
 def one_to_one(satellites: DataFrame, uavs: DataFrame, strict: bool = False) -> DataFrame:
@@ -131,15 +135,3 @@ def missing_classes(tiles: DataFrame, queries: DataFrame, strict: bool = False)
     if strict and not out.isEmpty():
         raise ValueError(f"classes without queries, such as {out.orderBy('class_id').first()[0]}")
     return out
-
-
-def mutual_nearest(sims: DataFrame, by: list[str], a: str, b: str, sim: str) -> DataFrame:
-    """Mean similarity of pairs that are each other's best; without one, the mean of the rows' best.
-
-    Equal similarities (to nine places) go to the smaller index.
-    """
-    s = F.round(sim, 9)
-    best_b = Window.partitionBy(*by, a).orderBy(s.desc(), b)
-    best_a = Window.partitionBy(*by, b).orderBy(s.desc(), a)
-    ranked = sims.withColumn("_b", F.row_number().over(best_b)).withColumn("_a", F.row_number().over(best_a))
-    return ranked.groupBy(*by).agg(F.coalesce(F.avg(F.when((F.col("_a") == 1) & (F.col("_b") == 1), F.col(sim))), F.avg(F.when(F.col("_b") == 1, F.col(sim)))).alias("score"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("n_mutual"))

@@ -74,15 +74,15 @@ def _finished(bank: DataFrame, ranking: DataFrame, q: DataFrame, t: DataFrame, g
     """What both runs do after the coarse ranking: local re-ranking, offsets of the first tile, metrics."""
     if config.rerank:
         first = ranking.where(F.col("rank") <= config.coarse_top_k)
-        sims = A.patch_pairs(first.select(F.col("query_id").alias("query_idx"), F.col("db_id").alias("tile_idx")), q, t)
-        local = A.match_scores(sims, config.matcher, config.top_m).toDF("query_id", "db_id", "local")
+        near = first.select(F.col("query_id").alias("query_idx"), F.col("db_id").alias("tile_idx"))
+        local = A.match_scores(near, q, t, config.matcher, config.top_m).toDF("query_id", "db_id", "local")
         ranking = R.rerank(first, local, config.alpha).select("query_id", F.col("new_rank").alias("rank"), "db_id", F.col("fused").alias("sim"))
     ranking = stored(ranking.select("query_id", "rank", "db_id", "sim"), "ranking")  # offsets and metrics both read it
     top = ranking.where("rank = 1").select(F.col("query_id").alias("query_idx"), F.col("db_id").alias("tile_idx"))
     if config.offset == "slide_ncc":
         offsets = A.ncc_offset(A.ncc_map(top, q, t, grid, grid), grid, grid, extent)
     else:
-        offsets = A.soft_argmax(A.similarity_map(A.patch_pairs(top, q, t), config.top_m), *grid, config.temperature, extent)
+        offsets = A.soft_argmax(A.similarity_map(top, q, t, config.top_m), *grid, config.temperature, extent)
     recall = E.recall_at_k(ranking, gt.select("query_id", "gt"), list(config.top_k_vals))
     errors = E.error_summary(E.offset_errors(offsets.select("query_idx", "px", "py"), gt.select(F.col("query_id").alias("query_idx"), "dx", "dy")), list(config.thresholds), "offset")
     wide = recall.groupBy().agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"recall_{k}") for k in config.top_k_vals])

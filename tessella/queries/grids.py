@@ -13,7 +13,6 @@ from tessella.functions.vector import r6
 from tessella.operators import learning as L
 from tessella.operators import maps as A
 from tessella.operators import masks as K
-from tessella.operators import joins as J
 from tessella.operators import mining as T
 from tessella.operators import segments as S
 from tessella.plans import fixtures as X
@@ -30,38 +29,38 @@ def pairs(spark, d):
     return X.patches(spark, d).where("image_idx % 4 = 0").select(F.col("image_idx").alias("query_idx"), (F.col("image_idx") + 1).alias("tile_idx")).distinct()
 
 
-def sims(spark, d):
+def sides(spark, d):
     p = X.patches(spark, d)
-    return A.patch_pairs(pairs(spark, d), p, p)
+    return pairs(spark, d), p, p
 
 
 @query(f"{_SIMS} SELECT query_idx, tile_idx, qp, tp, round(sim, 6) + 0.0 AS sim FROM sims")
 def j12_patch_pair_similarity(spark, d):
-    return sims(spark, d).withColumn("sim", r6(F.col("sim")))
+    return A.patch_pairs(*sides(spark, d)).withColumn("sim", r6(F.col("sim")))
 
 
 @query(f"""{_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_idx, tile_idx, qp ORDER BY round(sim, 9) DESC, tp) AS b, row_number() OVER (PARTITION BY query_idx, tile_idx, tp ORDER BY round(sim, 9) DESC, qp) AS a FROM sims)
 SELECT query_idx, tile_idx, round(coalesce(avg(CASE WHEN a = 1 AND b = 1 THEN sim END), avg(CASE WHEN b = 1 THEN sim END)), 6) AS score, count(CASE WHEN a = 1 AND b = 1 THEN 1 END) AS n_mutual FROM r GROUP BY 1, 2""")
 def j13_mutual_nn_join(spark, d):
-    return J.mutual_nearest(sims(spark, d), A.PAIR, "qp", "tp", "sim").withColumn("score", F.round("score", 6))
+    return A.mutual_nearest(*sides(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(f"{_MAP} SELECT query_idx, tile_idx, tp, round(v, 6) + 0.0 AS v FROM map")
 def g07_similarity_map(spark, d):
-    return A.similarity_map(sims(spark, d), 8).withColumn("v", r6(F.col("v")))
+    return A.similarity_map(*sides(spark, d), 8).withColumn("v", r6(F.col("v")))
 
 
 @query(f"""{_MAP}, best AS (SELECT query_idx, tile_idx, qp, max(sim) AS s FROM sims GROUP BY 1, 2, 3), pool AS (SELECT query_idx, tile_idx, avg(s) AS cosine_pool FROM (SELECT *, row_number() OVER (PARTITION BY query_idx, tile_idx ORDER BY s DESC) AS r FROM best) WHERE r <= 8 GROUP BY 1, 2),
 m AS (SELECT query_idx, tile_idx, avg(v) AS sim_map FROM (SELECT *, row_number() OVER (PARTITION BY query_idx, tile_idx ORDER BY v DESC) AS r FROM map) WHERE r <= 8 GROUP BY 1, 2) SELECT query_idx, tile_idx, round(cosine_pool, 6) AS cosine_pool, round(sim_map, 6) AS sim_map FROM pool JOIN m USING (query_idx, tile_idx)""")
 def g08_local_match_score(spark, d):
-    s = sims(spark, d)
-    a = A.match_scores(s, "cosine_pool", 8).select(*A.PAIR, F.round("score", 6).alias("cosine_pool"))
-    return a.join(A.match_scores(s, "sim_map", 8).select(*A.PAIR, F.round("score", 6).alias("sim_map")), A.PAIR)
+    s = sides(spark, d)
+    a = A.match_scores(*s, "cosine_pool", 8).select(*A.PAIR, F.round("score", 6).alias("cosine_pool"))
+    return a.join(A.match_scores(*s, "sim_map", 8).select(*A.PAIR, F.round("score", 6).alias("sim_map")), A.PAIR)
 
 
 @query(f"{_MAP}, e AS (SELECT *, exp(15 * (v - max(v) OVER (PARTITION BY query_idx, tile_idx))) AS e FROM map) SELECT query_idx, tile_idx, round(sum(e * ((tp % 5 + 0.5) / 5 - 0.5)) / sum(e) * 512, 6) + 0.0 AS px, round(sum(e * ((tp // 5 + 0.5) / 5 - 0.5)) / sum(e) * 512, 6) + 0.0 AS py FROM e GROUP BY 1, 2")
 def g09_softargmax_offset(spark, d):
-    o = A.soft_argmax(A.similarity_map(sims(spark, d), 8), 5, 5, 15.0, 512.0)
+    o = A.soft_argmax(A.similarity_map(*sides(spark, d), 8), 5, 5, 15.0, 512.0)
     return o.select(*A.PAIR, r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
 
 

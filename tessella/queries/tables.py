@@ -362,7 +362,13 @@ def j07_queries_back(spark, d):
 def j08_class_join(spark, d):
     q = X.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").cast("long").alias("class_id"))
     t = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile_id"), F.col("s_nationkey").cast("long").alias("class_id"), F.col("s_suppkey").alias("pos"))
-    return J.class_join(q, t).select("query_id", "class_id", F.coalesce(F.size("positives"), F.lit(0)).cast("long").alias("n"), "gt")
+    return J.class_truth(q, t)
+
+
+@query("SELECT c_custkey AS query_id, CAST(c_nationkey AS BIGINT) AS class_id, s_suppkey AS tile_id FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey")
+def j08_class_pairs(spark, d):
+    q = X.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").cast("long").alias("class_id"))
+    return J.class_join(q, X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile_id"), F.col("s_nationkey").cast("long").alias("class_id")))
 
 
 @query("""WITH RECURSIVE sat AS (SELECT s_suppkey AS sat_id, CAST(s_nationkey AS BIGINT) AS class_id, s_suppkey % 3 AS view, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),

@@ -12,10 +12,15 @@ scored exactly.  If no proof comes, all rows are.
 Blocks have a bounded number of rows; every block of queries meets every block
 of rows, one pair of blocks at a time, and only k rows of each leave it.
 
+Components are 64-bit integers.  Whether scores can leave what the index's sums or
+64-bit floats hold exactly is told by each block's largest component; such a block
+has no proof and all its rows are scored in whole numbers.
+
 A vector that is null, empty or holds null or non-finite components takes no
-part; vectors of other lengths than the query's are no candidates.  Repeated ids
-are rows of their own; equal scores go to the smaller id; without queries or
-candidates there are no rows; of other columns nothing is read.
+part; vectors of other lengths than the query's are no candidates.  A component or
+a score beyond 64 bits is an error.  Repeated ids are rows of their own; equal
+scores go to the smaller id; without queries or candidates, as on an empty table,
+there are no rows; of other columns nothing is read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql.window import Window
 from tessella.llm import _common as C
 
 SCALE, LEVEL_BITS, BLOCK_ROWS, QUERY_ROWS = 256, 5, 16384, 512
+#: Scores below half of this are kept in one number with the count of dimensions done.
 _DONE = 1 << 44
 
 
@@ -36,14 +42,23 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component; null if the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     ok = vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
-    return F.when(ok, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
+    whole = lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")
+    far = F.exists(vector, lambda x: F.abs(F.lit(scale) * x.cast("double")) >= F.lit(2.0**63))
+    return F.when(ok & far, F.raise_error(F.lit("a component beyond 64 bits")).cast("array<bigint>")).when(ok, F.transform(vector, whole))
+
+
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
 
 
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, level_bits: int = LEVEL_BITS):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], np.ascontiguousarray(values[order])
+        self.largest = _largest(self.values)
         self.step = 1 << level_bits
+        if self.largest >= _DONE >> 2:  # beyond what segments and floats hold, whatever the query
+            return
         level = self.values >> level_bits
         self.exact = self.values.astype(np.float64)  # whole numbers below 2**53: exact
         self.rows, self.levels, self.cuts = [], [], []
@@ -66,9 +81,19 @@ class ImpactIndex:
         order = np.lexsort((self.ids[rows], -scores))[:k]
         return rows[order], scores[order]
 
+    def _in_whole_numbers(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows, in integers of any size."""
+        rows = np.flatnonzero(self.ids != own)
+        scores = self.values[rows].astype(object) @ query.astype(object) if len(rows) else np.zeros(0, object)
+        order = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+        return self.ids[rows[order]], np.array([scores[i] for i in order], object).astype(np.int64)
+
     def search(self, query: np.ndarray, k: int, own: int, checks: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows whose id is not `own`."""
         n = len(self.ids)
+        reach = (self.largest + self.step + 1) * (_largest(query) + 1) * max(1, len(query))
+        if reach >= _DONE >> 2:
+            return self._in_whole_numbers(query, k, own)
         segments = [(int(q) * int(h) * self.step, d, j) for d, q in enumerate(query) if q for j, h in enumerate(self.levels[d])]
         segments.sort(key=lambda s: -s[0])
         # a row's true product in a dimension is its impact plus a rest of at most `slack`
@@ -106,7 +131,7 @@ def _blocks(vectors: DataFrame, n_blocks: int, name: str) -> DataFrame:
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy().astype("<i4")
+        flat = table.column("v").combine_chunks().flatten().to_numpy().astype("<i8")
         return pa.table({name: pa.array([table.column(name)[0].as_py()], pa.int32()), "size": pa.array([table.column("size")[0].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "flat": pa.array([flat.tobytes()], pa.binary())})
 
     keyed = vectors.select(F.pmod(F.xxhash64("id", F.lit(name)), F.lit(n_blocks)).cast("int").alias(name), F.size("v").alias("size"), "id", "v")
@@ -119,7 +144,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = BLOCK_R
     n_rows, n_queries = rows.count(), queries.count()
     n_blocks = max(1, -(-n_rows // block_rows))
     blocks = _blocks(rows, n_blocks, "block")
-    asked = _blocks(queries, max(1, -(-n_queries // query_rows)), "part").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "size", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    n_parts = max(1, -(-n_queries // query_rows))
+    # few blocks are dealt out more than once, so that parts of the queries meet them in other tasks
+    copies = max(1, min(n_parts, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // n_blocks)))
+    blocks = blocks.select("block", "size", "ids", "flat", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    asked = _blocks(queries, n_parts, "part").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "size", F.pmod(F.xxhash64("part"), F.lit(copies)).cast("int").alias("copy"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     schema = "query_id long, vec_id long, score long"
 
     def run(batches):
@@ -128,14 +157,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = BLOCK_R
             for r in b.to_pylist():
                 if last != (r["block"], r["size"], r["ids"]):
                     last = (r["block"], r["size"], r["ids"])
-                    index = ImpactIndex(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["flat"], "<i4").reshape(-1, r["size"]).astype(np.int64))
+                    index = ImpactIndex(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["flat"], "<i8").reshape(-1, r["size"]))
                 out = []
-                for own, q in zip(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_flat"], "<i4").reshape(-1, r["size"]).astype(np.int64)):
+                for own, q in zip(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_flat"], "<i8").reshape(-1, r["size"])):
                     ids, scores = index.search(q, k, own)
                     out.append((np.full(len(ids), own), ids, scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    found = blocks.join(asked, ["block", "size"]).mapInArrow(run, schema)
+    found = blocks.join(asked, ["block", "size", "copy"]).mapInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

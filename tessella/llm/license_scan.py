@@ -13,7 +13,8 @@ share, so no place is missed, however long the file.
 
 Null text counts as empty: no words, no labels, score 0, null places.  Repeated
 rows each get their own answer; ties between words of equal IDF go to the
-smaller word; of other columns nothing is read.
+smaller word; an empty table gives no rows; a very long text is scanned whole, in
+memory in proportion to itself; of other columns nothing is read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,60 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", ("redistribution and use in source and binary forms",)),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", ("mozilla public license",)),
 )
+# Whole texts of common licences and of their notices for files.
+TEXTS = (
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "mit", ("permission is hereby granted free of charge", "without restriction"),
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "bsd-2-clause", ("redistribution and use in source and binary forms", "this list of conditions and the following disclaimer"),
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "isc", ("for any purpose with or without fee is hereby granted",),
+    ),
+    (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        "zlib", ("must not be misrepresented", "altered source versions"),
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "apache-2.0", ("apache license version 2 0",),
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        "gpl-3.0-or-later", ("general public license", "either version 3 of the license"),
+    ),
+    (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/.""",
+        "mpl-2.0", ("mozilla public license v 2 0",),
+    ),
+)
 #: The share of a notice's words, by IDF, that have to stand where they should.
 LEAST = 0.8
 #: ASCII letters and digits and all of UTF-8 beyond ASCII make words; A-Z are lower-cased.
@@ -63,7 +119,8 @@ class Template:
 
 def templates() -> list[Template]:
     cut = lambda s: tuple(s.encode().split())
-    return [Template(cut(p), x, True, (cut(p),)) for p, x in BASE] + [Template(cut(p), x, False, tuple(map(cut, k))) for p, x, k in NOTICES]
+    texts = [Template(tuple(words_of(p.encode())), x, False, tuple(map(cut, k))) for p, x, k in TEXTS]
+    return [Template(cut(p), x, True, (cut(p),)) for p, x in BASE] + [Template(cut(p), x, False, tuple(map(cut, k))) for p, x, k in NOTICES] + texts
 
 
 @dataclass(frozen=True)
@@ -74,6 +131,10 @@ class Index:
     postings: dict[bytes, tuple[tuple[int, int], ...]]  # of notices, at their rarest words
     anchors: dict[bytes, tuple[tuple[int, int], ...]]  # of base phrases, at their rarest word
 
+    @cached_property
+    def looked_up(self) -> frozenset[bytes]:
+        return frozenset(self.postings.keys() | self.anchors.keys())
+
 
 def build_index(frequency: dict[bytes, int], n_docs: int, found: list[Template] | None = None) -> Index:
     """frequency: documents that hold a licence word."""
@@ -108,10 +169,11 @@ def scan(words: list[bytes], index: Index) -> dict:
     base: list[tuple[int, int]] = []
     labels: set[str] = set()
     best = 0.0
-    if not index.idf.keys().isdisjoint(words):
+    looked_up = index.looked_up
+    if not looked_up.isdisjoint(words):
         places: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
-            if w in index.idf:
+            if w in looked_up:
                 places.setdefault(w, []).append(i)
         for w, where in index.anchors.items():
             for i in places.get(w, ()):
@@ -122,8 +184,10 @@ def scan(words: list[bytes], index: Index) -> dict:
         for t, start in candidates:
             found = index.all[t]
             matched = sum(index.idf[w] for j, w in enumerate(found.words) if 0 <= start + j < len(words) and words[start + j] == w)
+            if matched < LEAST * index.whole[t]:
+                continue
             near = range(max(0, start - 4), min(len(words), start + len(found.words) + 4))
-            if matched >= LEAST * index.whole[t] and all(any(_stands(words, i, k) for i in near) for k in found.keys):
+            if all(any(_stands(words, i, k) for i in near) for k in found.keys):
                 labels.add(found.label)
                 best = max(best, min(1.0, matched / index.whole[t]))
     own = {index.all[t].label for _, t in base}

@@ -9,8 +9,8 @@ its length: its rank within its task, which the task itself counts, plus the
 counts of the tasks before it.
 
 Null and empty texts are the end id alone.  Repeated rows are packed each for
-itself, in the order read; an empty table gives no rows; of other columns
-nothing is read.
+itself, in the order read; an empty table gives no rows; a very long text is many
+full pieces; of other columns nothing is read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ over its own line and the lines right before and after it; so an empty line ends
 
 Spans are in code points, the end exclusive.  Null text counts as empty: no
 spans, the digest of nothing.  Repeated rows each get their own answer; spans
-with one start keep the order of the kinds; of other columns nothing is read.
+with one start keep the order of the kinds; an empty table gives no rows; a very
+long text is searched whole, in memory in proportion to itself; of other columns
+nothing is read.
 """
 
 from __future__ import annotations

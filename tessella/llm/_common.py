@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_own_dir: list[tempfile.TemporaryDirectory] = []
-
+from tessella.stages import planned_bytes, shared_dir, stored  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder instead.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.TemporaryDirectory(prefix="tessella-"))
-        atexit.register(_own_dir[0].cleanup)
-    return f"file://{_own_dir[0].name}"
-
-
-def stored(df: DataFrame, name: str, max_records: int = 0) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage,
-    and a lost executor costs no more than the stage it was in."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    if max_records:
-        out = out.option("maxRecordsPerFile", max_records)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions_for(spark: SparkSession, n_bytes: int, per: int = 32 << 20) -> int:
@@ -47,10 +22,11 @@ def partitions_for(spark: SparkSession, n_bytes: int, per: int = 32 << 20) -> in
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per))
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """What the optimiser expects df to have, from the sizes of its files; nothing is read.  0 if it does not know."""
-    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return told if told < 1 << 55 else 0
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """many joined with the row that `one` has for each key; the rows of a key are spread by a hash of `by`."""
+    salt = F.pmod(F.xxhash64(F.lit("spread"), F.col(by)), F.lit(salts)).cast("int")
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
 
 
 def dealt_rank(df: DataFrame, keys: list[str], order: list, name: str, salts: int = 64) -> DataFrame:
@@ -59,9 +35,11 @@ def dealt_rank(df: DataFrame, keys: list[str], order: list, name: str, salts: in
     Rows are dealt to `salts` sub-groups of each key by a hash of the order
     columns; a rank counts within its sub-group, plus the sizes of the
     sub-groups before it.  The order is by (sub-group, order), so it is fixed
-    by the rows but is no sort of the whole key.
+    by the rows but is no sort of the whole key.  Each use has a hash of its own
+    (by name and keys), for rows that an earlier rank has put together share its salts.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    seed = F.lit(f"{name}:{','.join(keys)}")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(seed, *order), F.lit(salts)).cast("int"))
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

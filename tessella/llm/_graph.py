@@ -11,15 +11,22 @@ from tessella.llm import _common as C
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long).  node, component: the smallest node that it is linked with.
 
-    In each round every node takes its smallest neighbour as parent and the
-    edges are drawn between parents; rounds end when no edge is left, and the
-    parents are then followed back.  All tables are in the shared folder.
+    In each round every node takes the neighbour of the least rank (or itself) as
+    parent, and the edges are drawn between parents.  Ranks are the labels in one
+    round, which ends stars around their smallest node at once, and new random numbers
+    in the next, which leaves a share of the nodes whatever their labels, so rounds grow
+    with the logarithm of a chain.  They end when no edge is left; the parents are
+    then followed back, and each component takes its smallest node's name.  All
+    tables are in the shared folder.
     """
     edges = C.stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     parents: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = C.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")), "parents")
+        turn = len(parents)
+        ranked = lambda c: F.struct((F.xxhash64(F.lit(turn), c) if turn % 2 else F.col(c)).alias("r"), F.col(c).alias("n"))  # noqa: B023,E731
+        best = both.groupBy(F.col("a").alias("node")).agg(F.min(ranked("b")).alias("m"))
+        parent = C.stored(best.select("node", F.least("m", ranked("node"))["n"].alias("parent")), "parents")
         parents.append(parent)
         pa, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
         new = edges.join(pa, "a").join(pb, "b").where("pa <> pb")
@@ -30,4 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for parent in reversed(parents[:-1]):
         upper = out.toDF("parent", "component")
         out = parent.join(upper, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
-    return out
+    out = C.stored(out, "components")
+    least = out.groupBy("component").agg(F.min("node").alias("least"))
+    return C.spread_join(out, least, "component", "node").select("node", F.col("least").alias("component"))

@@ -10,6 +10,7 @@ from tessella.llm.bpe_tree import op10_bpe_tree
 from tessella.llm.fingerprint import op2_fingerprint
 from tessella.llm.language_id import op3_language_id
 from tessella.llm.license_scan import op5_license_scan
+from tessella.llm.ngram_join import SQL as JOIN_SQL
 from tessella.llm.ngram_join import op1_ngram_join
 from tessella.llm.packing import op4_packing
 from tessella.llm.secret_scan import op7_secret_scan
@@ -37,4 +38,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": TOPK_SQL}
+    return {"op1_ngram_join": JOIN_SQL, "op6_topk_search": TOPK_SQL}

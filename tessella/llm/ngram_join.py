@@ -17,10 +17,14 @@ sets are one node.  The global order of the n-grams puts common n-grams last
 3. Candidate pairs are dealt out by the component they lie in, large components
    in tiles of two blocks, and their partial overlaps are counted fragment by
    fragment and summed; a pair is dropped as soon as the rest cannot suffice.
-4. Members of a family are held against each other in tiles of two bounded
-   blocks: partial overlaps of all pairs of a tile are products of incidence
-   matrices, summed over the fragments.  No pair becomes a row; a tile returns
-   each node's edge to the smallest node it is linked with there.
+4. Members of a family of many blocks are first held against one of them, its
+   hub.  Those that it is linked with are connected; the rest meet all members, in
+   tiles of two bounded blocks (a small family is one tile): partial overlaps of
+   all pairs of a tile are products of incidence matrices, summed over the
+   fragments.  No pair becomes a row; a tile returns each node's edge to the
+   smallest node it is linked with there.
+5. An n-gram that stands in more than `hot` zones has no posting list: each of its
+   sets gets an edge to a label of the n-gram itself, wherever it is met.
 
 So a link is never lost: every pair that can reach the threshold is counted
 exactly.  (Equality of hashes stands for equality of shingles and of sets: 48
@@ -29,8 +33,8 @@ bits within a pair, 64 bits for sets.)
 A null text, or one without words, has the empty set and no link; with fewer
 words than a shingle has, the words as a whole are the one shingle.  Repeated
 rows and ids are linked by their equal sets; a null id is never a smallest id
-beside another one; an empty table gives no rows; of other columns nothing is
-read.
+beside another one; an empty table gives no rows; a very long text is one set, in
+memory in proportion to its words; of other columns nothing is read.
 """
 
 from __future__ import annotations
@@ -49,7 +53,13 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 #: Rows of sets that are unpacked at a time, and pairs that are held at a time.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 4000, 250_000
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 2000, 250_000
+#: Zones that an n-gram may stand in and still have a posting list.
+HOT = 50_000
+#: Sets that a task knows as seen; beyond them an equal set may give its tokens again, which costs bytes and changes nothing.
+SEEN_SETS = 500_000
+#: Rows of 24 bytes at most that are sent to every task instead of being shuffled.
+MOST_SENT = 2_000_000
 
 
 def _slices(batches):
@@ -63,7 +73,7 @@ def _slices(batches):
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh3_64_intdigest(word)
@@ -109,25 +119,22 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         hashes, seen = C.kept("words", WordHashes), set()
         for b in batches:
-            keys, nodes, sizes, blobs = b.column("doc_id").to_pylist(), [], [], []
-            for text in C.column_bytes(b, "text"):
-                tokens = shingles(text.lower().split(), width, hashes)
-                node = None
-                blob = None
-                if len(tokens):
-                    node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
-                    if node not in seen:
-                        seen.add(node)
-                        blob = packed(tokens)
-                nodes.append(node)
-                sizes.append(len(tokens))
-                blobs.append(blob)
-                if len(blobs) >= 500:
-                    k = len(blobs)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:k], pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "tokens"])
-                    keys, nodes, sizes, blobs = keys[k:], [], [], []
-            if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "tokens"])
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                nodes, sizes, blobs = [], [], []
+                for text in C.column_bytes(some, "text"):
+                    tokens = shingles(text.lower().split(), width, hashes)
+                    node = blob = None
+                    if len(tokens):
+                        node = xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+                        if node not in seen:
+                            if len(seen) < SEEN_SETS:
+                                seen.add(node)
+                            blob = packed(tokens)
+                    nodes.append(node)
+                    sizes.append(len(tokens))
+                    blobs.append(blob)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -182,7 +189,7 @@ def common_tokens(sets: DataFrame, percent: int, buckets: int, common: int, max_
     return tokens[order], n[order]
 
 
-def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndarray, np.ndarray], short_list: int) -> DataFrame:
+def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndarray, np.ndarray], short_list: int, hot: int = HOT) -> DataFrame:
     """star, a, b: pairs of nodes (star false), and edges from members of long lists to their hubs.
 
     A pair with an n-gram in a long list is covered by the list's family; any
@@ -209,6 +216,13 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
                 sizes.append(np.full(len(take), len(t), np.uint32))
             if tokens:
                 t, n, s = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+                many = np.isin(t, common[count > hot])
+                if many.any():  # dealt by node, to buckets beyond the others
+                    share = buckets + n[many] % buckets
+                    for k in np.unique(share).tolist():
+                        of = np.flatnonzero(many)[share == k]
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([x], pa.binary()) for x in (packed(t[of]), n[of].tobytes(), s[of].tobytes())]], names=["bucket", "tokens", "nodes", "sizes"])
+                    t, n, s = t[~many], n[~many], s[~many]
                 order = np.argsort(t, kind="stable")
                 t, n, s = t[order], n[order], s[order]
                 cut = _by_fragment(t, buckets)
@@ -229,6 +243,7 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), pa.array(least), pa.array(c)], names=names)
 
     def meet(batches):
+        common, count = told.value
         parts = [(unpacked(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.uint32)) for b in _slices(batches) for x, y, z in zip(b.column("tokens").to_pylist(), b.column("nodes").to_pylist(), b.column("sizes").to_pylist())]
         if not parts:
             return
@@ -238,6 +253,12 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
         t, n, s = t[order], n[order], s[order].astype(np.int64)
         new = np.r_[True, (t[1:] != t[:-1]) | (n[1:] != n[:-1])]
         t, n, s = t[new], n[new], s[new]
+        many = np.isin(t, common[count > hot])
+        if many.any():  # the n-gram's label: 48 bits below zero
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(many.sum(), bool)), pa.array(-1 - t[many].astype(np.int64)), pa.array(n[many]), *[pa.array(np.zeros(many.sum(), np.int64))] * 2], names=names)
+            t, n, s = t[~many], n[~many], s[~many]
+        if not len(t):
+            return
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         length = np.diff(np.r_[starts, len(t)])
         seen: set[bytes] = set()
@@ -266,7 +287,7 @@ def candidates(sets: DataFrame, percent: int, buckets: int, known: tuple[np.ndar
             yield partial(held)
 
     posted = sets.where("tokens is not null").select("node", "tokens").mapInArrow(prefixes, "bucket int, tokens binary, nodes binary, sizes binary")
-    met = posted.repartition(buckets, "bucket").mapInArrow(meet, "star boolean, a long, b long, least long, c long")
+    met = posted.repartition(2 * buckets, "bucket").mapInArrow(meet, "star boolean, a long, b long, least long, c long")
     summed = met.groupBy("star", "a", "b").agg(F.max("least").alias("least"), F.sum("c").alias("c"))
     return summed.where("star or c >= least").select("star", "a", "b")
 
@@ -327,30 +348,34 @@ def _least_linked(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def links(sets: DataFrame, percent: int, common: int = COMMON, max_common: int = MAX_COMMON, short_list: int = SHORT_LIST, block_nodes: int = BLOCK_NODES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def links(sets: DataFrame, percent: int, common: int = COMMON, max_common: int = MAX_COMMON, short_list: int = SHORT_LIST, block_nodes: int = BLOCK_NODES, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """a, b: enough of the links between nodes to connect all that are linked."""
     spark = sets.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = C.partitions_for(spark, 8 * total)
     known = common_tokens(sets, percent, buckets, common, max_common)
-    found = C.stored(candidates(sets, percent, buckets, known, short_list), "candidates")
+    found = C.stored(candidates(sets, percent, buckets, known, short_list, hot), "candidates")
     stars, pairs = found.where("star").select("a", "b"), found.where("not star").select("a", "b")
 
     # one row of tokens for each node that has a candidate
     involved = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     holders = sets.where("tokens is not null").join(involved, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("h"), F.first("n").alias("n"))
     holders = C.stored(holders.select("node", F.col("h.doc_id").alias("doc_id"), "n"), "holders")
-    few = holders.count() <= 2_000_000  # 16 bytes each
+    few = holders.count() <= MOST_SENT
     narrow = F.broadcast(holders.select("node", "doc_id")) if few else holders.select("node", "doc_id")
     s, h = sets.where("tokens is not null").select("node", "doc_id", "tokens").alias("s"), narrow.alias("h")
     held = s.join(h, (F.col("s.node") == F.col("h.node")) & F.col("s.doc_id").eqNullSafe(F.col("h.doc_id")), "left_semi")
 
-    def tiles_of(edges: DataFrame) -> DataFrame:
-        """node, group, block, blocks: large groups are cut into blocks of bounded rows and bytes."""
-        groups = connected_components(edges).join(holders.select("node", "n"), "node")
-        size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 6).alias("bytes"))
+    def blocked(groups: DataFrame) -> DataFrame:
+        """groups: node, component.  node, group, block, blocks: large groups are cut into blocks of bounded rows and bytes."""
+        sized = groups.join(holders.select("node", "n"), "node")
+        size = sized.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 6).alias("bytes"))
         blocks = F.ceil(F.greatest(F.col("k") / block_nodes, F.col("bytes") / block_bytes)).cast("int")
-        return groups.join(size.select("component", blocks.alias("blocks")), "component").select("node", F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+        cut = C.spread_join(sized, size.select("component", blocks.alias("blocks")), "component", "node")
+        return cut.select("node", F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+    def tiles_of(edges: DataFrame) -> DataFrame:
+        return blocked(connected_components(edges))
 
     # pairs, in tiles of their component
     placed = C.stored(tiles_of(pairs), "tiles")
@@ -359,7 +384,7 @@ def links(sets: DataFrame, percent: int, common: int = COMMON, max_common: int =
     bins = C.partitions_for(spark, 6 * (holders.agg(F.sum("n")).first()[0] or 0), block_bytes)
     dealt = C.stored(pairs.join(a, "a").join(b, "b").select(F.pmod(tile, F.lit(bins)).cast("int").alias("cell"), "a", "b"), "pairs")
     needed = dealt.select(F.col("cell").alias("bin"), F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
-    needed = F.broadcast(needed) if few and needed.count() <= 4_000_000 else needed  # 12 bytes each
+    needed = F.broadcast(needed) if few and needed.count() <= MOST_SENT else needed
     sent = held.join(needed, "node").select("bin", "node", "tokens")
 
     def verify(nodes: pa.Table, told: pa.Table) -> pa.Table:
@@ -371,10 +396,33 @@ def links(sets: DataFrame, percent: int, common: int = COMMON, max_common: int =
     if stars.isEmpty():
         return verified
 
-    # families, all members of two blocks against each other
     family = C.stored(tiles_of(stars), "families")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = family.select("node", "group", "block", other.alias("other")).select("node", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("same"))
+    large, small = family.where("blocks > 1"), family.where("blocks = 1")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = small.select("node", F.xxhash64("group").alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("same"))
+    if not large.isEmpty():
+        # a large family's members meet one of them, its hub, first: block by block, so in proportion to their number
+        hubs = large.groupBy("group").agg(F.min_by("node", F.xxhash64(F.lit("hub"), "node")).alias("node"), F.max("blocks").alias("blocks"))
+        sent_hubs = held.join(hubs, "node").select("group", "node", "tokens", every("blocks")).toDF("of", "hub", "sent", "part")
+        members = held.join(large, "node").select("group", "block", "node", "tokens")
+
+        def to_hub(nodes: pa.Table, hub: pa.Table) -> pa.Table:
+            at = unpacked(hub.column("sent")[0].as_py())
+            near = [x for x, t in zip(nodes.column("node").to_pylist(), nodes.column("tokens").to_pylist()) if overlap_reaches(unpacked(t), at, percent)]
+            return pa.Table.from_arrays([pa.array(near, pa.int64()), pa.array([hub.column("hub")[0].as_py()] * len(near), pa.int64())], schema=LINKS)
+
+        linked = C.stored(members.groupBy("group", "block").cogroup(sent_hubs.groupBy("of", "part")).applyInArrow(to_hub, "a long, b long"), "hubs")
+        verified = verified.union(linked)
+        # those that are not linked with it meet all members; the others are connected among themselves already
+        rest = C.stored(blocked(large.join(linked.select(F.col("a").alias("node")), "node", "left_anti").select("node", F.col("group").alias("component"))), "rest")
+        counts = rest.groupBy("group").agg(F.max("blocks").alias("rests"))
+        tile = F.xxhash64("group", "rest", "block").alias("tile")
+        left = rest.select("node", "group", F.col("block").alias("rest")).join(large.groupBy("group").agg(F.max("blocks").alias("all")), "group").select("node", "group", "rest", every("all").alias("block"))
+        right = large.join(counts, "group").select("node", "group", "block", every("rests").alias("rest"))
+        for side, is_left in ((left, True), (right, False)):
+            spread = spread.unionByName(side.select("node", tile, F.lit(is_left).alias("left"), F.lit(False).alias("same")))
+    spread = C.stored(spread, "spread")
+    sent_spread = F.broadcast(spread) if spread.count() <= MOST_SENT else spread
 
     def compare(table: pa.Table) -> pa.Table:
         left = np.array(table.column("left").to_pylist(), bool)
@@ -391,7 +439,7 @@ def links(sets: DataFrame, percent: int, common: int = COMMON, max_common: int =
         names = np.concatenate((nodes[rows], nodes[cols]))
         return pa.Table.from_arrays([pa.array(names), pa.array(names[np.concatenate((r, c))])], schema=LINKS)
 
-    return verified.union(held.join(F.broadcast(spread) if few else spread, "node").select("tile", "left", "same", "node", "tokens").groupBy("tile").applyInArrow(compare, "a long, b long"))
+    return verified.union(held.join(sent_spread, "node").select("tile", "left", "same", "node", "tokens").groupBy("tile").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -401,9 +449,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(whole, "component").select("node", "component_id")
+    ids = C.spread_join(named, whole, "component", "node").select("node", "component_id")
     return sets.select("doc_id", "n", "node").join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other
+), m AS (SELECT node, min(other) AS least FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""

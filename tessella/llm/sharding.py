@@ -7,14 +7,15 @@ is how many of its members each shard holds, so the state is one cell for each
 move towards the shard that holds most of their group and has room; the moves
 into a shard are taken in order of their gain until its quota is full, in
 sub-groups with shares of the quota so that no one task orders a shard's moves.
-Rounds go on until a round moves nothing.
-Unlinked documents have no say and fill what is left, so counts come out at
-most one apart (law `rows`).  Moves need room, which unlinked documents leave;
-where all documents are linked and all shards full, groups gather less.
+Rounds go on until a round moves nothing.  Then full shards exchange: of any two
+shards, as many members move one way as the other, again towards the larger cells
+of their groups.  Unlinked documents have no say and fill what is left, so counts
+come out at most one apart (law `rows`).
 
 A null text is an empty one: size 16, and linked with the other empty ones.
 Repeated rows are documents of their own; ties go by hashes; an empty table
-gives no rows; of other columns nothing is read.
+gives no rows; a very long text counts by its digest, as any other; of other
+columns nothing is read, and those named key, shard or slot do not clash.
 """
 
 from __future__ import annotations
@@ -46,24 +47,49 @@ def _round(cells: DataFrame, n: int, shards: int) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("to", "salt").orderBy(F.desc("gain"), "key", "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # shards x salts rows
     taken = moves.withColumn("before", before).join(F.broadcast(share), ["to", "salt"]).select("key", "label", "to", F.greatest(F.lit(0), F.least("n", F.col("share") - F.col("before"))).alias("k")).where("k > 0")
+    return _moved(cells, taken)
+
+
+def _exchange(cells: DataFrame) -> DataFrame:
+    """cells: key, label, n.  One round of moves between shards, two shards at a time in about equal numbers."""
+    weighed = cells.withColumn("pull", F.struct("n", F.xxhash64("key", "label"), "label"))
+    wish = weighed.withColumn("best", F.max("pull").over(Window.partitionBy("key")))
+    moves = wish.where(F.col("best") > F.col("pull")).select("key", "label", "n", F.col("best.label").alias("to"), F.col("best.n").alias("gain"), F.pmod(F.xxhash64(F.lit("exchange"), "key"), F.lit(SALTS)).alias("salt"))
+    asked = moves.groupBy("label", "to", "salt").agg(F.sum("n").alias("asked"))
+    one_way = asked.groupBy("label", "to").agg(F.sum("asked").alias("total"))
+    back = one_way.select(F.col("to").alias("label"), F.col("label").alias("to"), F.col("total").alias("back"))
+    # shards x shards x salts rows
+    share = asked.join(one_way, ["label", "to"]).join(back, ["label", "to"]).select("label", "to", "salt", F.floor(F.least("total", "back") * F.col("asked") / F.col("total")).cast("long").alias("share"))
+    order = Window.partitionBy("label", "to", "salt").orderBy(F.desc("gain"), "key").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    taken = moves.withColumn("before", before).join(F.broadcast(share), ["label", "to", "salt"]).select("key", "label", "to", F.greatest(F.lit(0), F.least("n", F.col("share") - F.col("before"))).alias("k")).where("k > 0")
+    return _moved(cells, taken)
+
+
+def _moved(cells: DataFrame, taken: DataFrame) -> DataFrame:
+    """cells after k members of each (key, label) have gone to `to`."""
     out = cells.unionByName(taken.select("key", "label", (-F.col("k")).alias("n"))).unionByName(taken.select("key", F.col("to").alias("label"), F.col("k").alias("n")))
     return out.groupBy("key", "label").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def propagate(cells: DataFrame, n: int, shards: int) -> DataFrame:
-    """Rounds of moves until none is left to make.
+    """Rounds of moves into room until none is left to make, then at most `shards` rounds of exchanges.
 
     Every move goes to a cell at least as large, so the linked pairs that share
     a shard (told by the sum of squares) only rise, and the rounds end.
     """
     squares = F.sum(F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
     before = cells.agg(squares).first()[0]
-    while True:
-        cells = C.stored(_round(cells, n, shards), "shard-cells")
-        now = cells.agg(squares).first()[0]
-        if now == before:
-            return cells
-        before = now
+    exchanges = 0
+    for step in (lambda c: _round(c, n, shards), _exchange):
+        while exchanges < shards:
+            cells = C.stored(step(cells), "shard-cells")
+            now = cells.agg(squares).first()[0]
+            if now == before:
+                break
+            before = now
+            exchanges += step is _exchange
+    return cells
 
 
 def _kept(cells: DataFrame, n: int, shards: int) -> DataFrame:

@@ -16,6 +16,7 @@ DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()),
 def odd_texts():
     long = " ".join(f"word{i * 7919 % 5003}" for i in range(6000))
     near = " ".join(f"near{i}" for i in range(80))
+    very_long = " ".join(f"long{i * 31 % 9973}" for i in range(30000))
     key = "AK" + "IA" + "ABCDEFGHIJKLMNOPQRST"
     return [
         None, "", " ", "\n\n", "one", "two words", "same text here again and again", "same text here again and again",
@@ -23,7 +24,7 @@ def odd_texts():
         "All Rights reserved. CC BY general public license, all rights reserved", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.",
         'token = "0123456789abcdef0123456789abcdef01234567" and ' + key, "Password: hunter22 secret=abc, API_KEY : 'zzzzzzzz' ſecret=longsecret1",
         "client_id = svc-main\nx\nclient_id = svc-main value Zx9kQ2mLw8Tr4Vb7Yn3C https://api.example.org/v1",
-        "the quick <|endoftext|> brown", "x  y   z\tq \r\n w", "naïve café İstanbul     end ", "\U0001f600 emoji \U0001f680", "tail tail tail\n",
+        "the quick <|endoftext|> brown", "x  y   z\tq \r\n w", "naïve café İstanbul     end ", "\U0001f600 emoji \U0001f680", "½ ² 50", "Ⅷ", very_long, "ab1" * 40000, "tail tail tail\n",
     ]
 
 

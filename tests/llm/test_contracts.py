@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import oracle
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -27,11 +28,18 @@ def got(spark, name, d):
     return [r.asDict() for r in Q[name](spark, d).collect()]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in Q if n != "op6_topk_search"))
+@pytest.mark.parametrize("name", sorted(Q))
 def test_empty_table(spark, empty_dir, name):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, n long, rank long").write.mode("ignore").parquet(f"{empty_dir}/embeddings.parquet")
     assert got(spark, name, empty_dir) == []
 
 
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    oracle.compare(spark, oracle.connect(sf), sf, Q[name], catalog.oracle_sql()[name])
+
+
 def brute_components(rows, width, percent):
     sets = []
     for _, t in rows:
@@ -75,6 +83,18 @@ def test_op2(spark, docs_dir, rows_of):
         assert prints.setdefault(text[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert len(set(prints.values())) == len(prints)
+    lanes = lambda f: [int(x, 16) for x in f.split(".")]
+
+    def likeness(f, g):
+        (a, n), (b, m) = (([2 * x - v[4] for x in v[5:]], v[4]) for v in (lanes(f), lanes(g)))
+        both = sum(x * x for x in a) + sum(x * x for x in b)
+        return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(a, b)) / both)) if both else 1.0
+
+    follow = {k: u or "" for (k, _), (_, u) in zip(rows, rows[1:] + rows[:1])}
+    repeated = {k for k, n in Counter(k for k, _ in rows).items() if n > 1}
+    for r in have:
+        assert abs(r["near_edited"] - likeness(r["fingerprint"], r["edited_fingerprint"])) < 1e-9
+        assert r["doc_id"] in repeated or abs(r["near_next"] - likeness(r["fingerprint"], prints[follow[r["doc_id"]]])) < 1e-9
     if len(rows) > 100:
         assert sum(r["near_edited"] for r in have) / len(have) > 0.3 > sum(r["near_next"] for r in have) / len(have) + 0.1
 
@@ -167,7 +187,8 @@ def test_op6(spark, tmp_path):
         want |= {(int(ids[i]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)}
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows} == want
     odd = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (7, [-1.0, 0.0]), (50, []), (100, [1.0]), (150, [0.0, 0.0])]
-    spark.createDataFrame(odd, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    odd = [(*r, r[0], "x", [0]) for r in odd]
+    spark.createDataFrame(odd, "vec_id long, embedding array<float>, id long, score string, v array<long>").write.parquet(f"{tmp_path}/embeddings.parquet")
     have = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in Q["op6_topk_search"](spark, str(tmp_path)).collect()}
     assert have == {(0, 1, 1, 81920), (0, 2, 2, 81920), (0, 3, 150, 0), (0, 4, 7, -65536), (150, 1, 0, 0), (150, 2, 1, 0), (150, 3, 2, 0), (150, 4, 7, 0)}
 

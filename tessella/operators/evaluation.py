@@ -33,10 +33,13 @@ def precision_at_hits(ranking: DataFrame, positives: DataFrame) -> DataFrame:
     return marked.withColumn("hits", F.sum("hit").over(w)).withColumn("precision", F.col("hits") / F.col("rank"))
 
 
-def map_at_k(ranking: DataFrame, positives: DataFrame, k: int) -> DataFrame:
-    """The mean over queries with positives of sum(precision at hits) / min(positives, k)."""
+def map_at_k(ranking: DataFrame, positives: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
+    """The mean over queries with positives of sum(precision at hits) / min(positives, k).
+
+    counts: query_id, n (positives in all), if `positives` holds only those within the ranking.
+    """
     sums = precision_at_hits(ranking.where(F.col("rank") <= k), positives).where("hit = 1").groupBy("query_id").agg(F.sum("precision").alias("s"))
-    n = positives.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    n = counts if counts is not None else positives.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     ap = n.join(sums, "query_id", "left").select((F.coalesce("s", F.lit(0.0)) / F.least("n", F.lit(k))).alias("ap"))
     return ap.agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("n_valid"))
 

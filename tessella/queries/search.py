@@ -13,6 +13,7 @@ from tessella.operators import retrieval as R
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
 from tessella.queries.registry import query
+from tessella.stages import stored
 
 _RANK = with_views("ranking")
 
@@ -22,13 +23,22 @@ def ranking(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return R.top_k_blocks(q, db, k)
 
 
-def positives(spark: SparkSession, d: str) -> DataFrame:
+def positives(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
+    """The pairs of a ranking whose labels agree; queries do not meet all rows of their label."""
     q, db = X.split_vectors(spark, d)
-    return q.select("query_id", F.col("q_label").alias("label")).join(db.select("db_id", "label"), "label").select("query_id", "db_id")
+    both = ranked.select("query_id", "db_id").join(q.select("query_id", "q_label"), "query_id").join(db.select("db_id", "label"), "db_id")
+    return both.where("q_label = label").select("query_id", "db_id")
+
+
+def of_label(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, n (database rows of its label) and gt (the first) of each query that has any."""
+    q, db = X.split_vectors(spark, d)
+    first = db.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("db_id").alias("gt"))
+    return q.select("query_id", F.col("q_label").alias("label")).join(first, "label").select("query_id", "n", "gt")
 
 
 def lowest_positive(spark: SparkSession, d: str) -> DataFrame:
-    return positives(spark, d).groupBy("query_id").agg(F.min("db_id").alias("gt"))
+    return of_label(spark, d).select("query_id", "gt")
 
 
 _POS = ", pos AS (SELECT query_id, db_id FROM vec_query JOIN vec_db ON q_label = label), gt AS (SELECT query_id, min(db_id) AS gt FROM pos GROUP BY 1)"
@@ -112,15 +122,15 @@ def t02_topm_mean(spark, d):
     return R.top_m_mean(ranking(spark, d), ["query_id"], "sim", 5).select("query_id", F.round("sim", 6).alias("x"))
 
 
-def local_scores(spark, d):
-    return ranking(spark, d, 10).select("query_id", "db_id", ((F.col("db_id") * 31 + F.col("query_id")) % 17 / 17.0).alias("local"))
+def local_scores(ranked):
+    return ranked.select("query_id", "db_id", ((F.col("db_id") * 31 + F.col("query_id")) % 17 / 17.0).alias("local"))
 
 
 @query(f"""{_RANK}, f AS (SELECT query_id, db_id, rank, 0.5 * sim + 0.5 * ((db_id * 31 + query_id) % 17 / 17.0) AS fused FROM ranking WHERE rank <= 10)
 SELECT query_id, db_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, rank) AS BIGINT) AS new_rank, round(fused, 6) AS fused FROM f""")
 def t04_rerank_sort(spark, d):
-    coarse = ranking(spark, d, 10)
-    return R.rerank(coarse, local_scores(spark, d), 0.5).select("query_id", "db_id", "new_rank", F.round("fused", 6).alias("fused"))
+    coarse = stored(ranking(spark, d, 10), "ranking")
+    return R.rerank(coarse, local_scores(coarse), 0.5).select("query_id", "db_id", "new_rank", F.round("fused", 6).alias("fused"))
 
 
 @query(f"{_RANK} SELECT query_id, db_id, CAST(rank AS BIGINT) AS rank FROM ranking")
@@ -131,7 +141,8 @@ def w01_rank_in_query(spark, d):
 @query(f"""{_RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, CAST(sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) OVER w AS BIGINT) AS hits,
 round(sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) OVER w / rank, 6) AS precision FROM ranking WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)""")
 def w02_cumulative_hits(spark, d):
-    return E.precision_at_hits(ranking(spark, d), positives(spark, d)).select("query_id", "rank", "hits", F.round("precision", 6).alias("precision"))
+    r = stored(ranking(spark, d), "ranking")
+    return E.precision_at_hits(r, positives(spark, d, r)).select("query_id", "rank", "hits", F.round("precision", 6).alias("precision"))
 
 
 @query(f"""{with_views('unit')}, s AS (SELECT q.vec_id AS query_id, d.vec_id AS db_id, round(list_dot_product(q.e, d.e), 9) AS sim FROM unit q JOIN unit d ON q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0)
@@ -167,7 +178,7 @@ def w06_argmax_partition(spark, d):
 SELECT CASE WHEN ok THEN 'correct' ELSE 'error' END AS kind, query_id, db_id, gt FROM (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY (CASE WHEN inside THEN 0 ELSE 1 END), query_id) AS r FROM first) WHERE r = 1""")
 def w08_pick_example(spark, d):
     """The first correct query; the first wrong one, those with the truth inside the ranking before others."""
-    r, gt = ranking(spark, d), lowest_positive(spark, d)
+    r, gt = stored(ranking(spark, d), "ranking"), lowest_positive(spark, d)
     inside = r.join(gt, "query_id").groupBy("query_id").agg(F.max((F.col("db_id") == F.col("gt")).cast("int")).alias("inside"))
     first = r.where("rank = 1").join(gt, "query_id").join(inside, "query_id").withColumn("kind", F.when(F.col("db_id") == F.col("gt"), "correct").otherwise("error"))
     w = Window.partitionBy("kind").orderBy(F.desc("inside"), "query_id")
@@ -196,14 +207,16 @@ def e02_top1_accuracy(spark, d):
 
 @query(f"{_RANK}, h AS (SELECT query_id, min(CASE WHEN label = q_label THEN rank END) AS hit FROM ranking GROUP BY 1) SELECT CAST(k AS BIGINT) AS k, CAST(sum(CASE WHEN hit <= k THEN 1 ELSE 0 END) AS BIGINT) AS n_hit, round(avg(CASE WHEN hit <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM h, (SELECT unnest([1, 5, 10, 20]) AS k) GROUP BY 1")
 def e03_recall_any_positive(spark, d):
-    return E.recall_any(ranking(spark, d), positives(spark, d), _KS).select("k", "n_hit", F.round("recall", 6).alias("recall"))
+    r = stored(ranking(spark, d), "ranking")
+    return E.recall_any(r, positives(spark, d, r), _KS).select("k", "n_hit", F.round("recall", 6).alias("recall"))
 
 
 @query(f"""{_RANK}{_POS}, m AS (SELECT query_id, rank, label = q_label AS hit, sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM ranking),
 n AS (SELECT query_id, count(*) AS n FROM pos GROUP BY 1), ap AS (SELECT n.query_id, coalesce((SELECT sum(hits / rank) FROM m WHERE m.query_id = n.query_id AND hit), 0) / least(n, 20) AS ap FROM n)
 SELECT round(avg(ap), 6) AS map, count(*) AS n_valid FROM ap""")
 def e04_map_at_k(spark, d):
-    return E.map_at_k(ranking(spark, d), positives(spark, d), 20).select(F.round("map", 6).alias("map"), "n_valid")
+    r = stored(ranking(spark, d), "ranking")
+    return E.map_at_k(r, positives(spark, d, r), 20, of_label(spark, d)).select(F.round("map", 6).alias("map"), "n_valid")
 
 
 @query(f"{_RANK}{_POS} SELECT round(avg(coalesce(1.0 / r.rank, 0)), 6) AS mrr, count(*) AS n_valid FROM gt g LEFT JOIN ranking r ON r.query_id = g.query_id AND r.db_id = g.gt")

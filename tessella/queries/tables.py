@@ -14,11 +14,11 @@ from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.fixtures import with_views
 from tessella.queries.registry import doubles, query
-from tessella.queries.search import lowest_positive, positives, ranking
+from tessella.queries.search import lowest_positive, ranking
 from tessella.sinks import tables as W
 from tessella.sources import files as FS
 from tessella.sources import manifests as M
-from tessella.stages import fresh
+from tessella.stages import fresh, stored
 
 
 def manifest_text(spark, d, wrapper=None):
@@ -471,7 +471,7 @@ def k03_write_masks(spark, d):
 @query(f"{_RJ}, pos AS (SELECT query_id, db_id FROM vec_query JOIN vec_db ON q_label = label), gt AS (SELECT query_id, min(db_id) AS gt FROM pos GROUP BY 1) SELECT 'Coarse-R@' || k AS name, round(avg(CASE WHEN EXISTS (SELECT 1 FROM ranking r WHERE r.query_id = gt.query_id AND r.db_id = gt.gt AND r.rank <= k) THEN 1.0 ELSE 0.0 END), 6) AS value FROM gt, (SELECT unnest([1, 5, 10]) AS k) GROUP BY k")
 def k04_write_run_result(spark, d):
     """Metrics of a run, written with its configuration and ranking and read back from the JSON."""
-    r, path = ranking(spark, d), fresh(spark, "run")
+    r, path = stored(ranking(spark, d), "ranking"), fresh(spark, "run")
     rows = E.recall_at_k(r, lowest_positive(spark, d), [1, 5, 10]).collect()  # three rows
     W.write_run({"k": 20}, {f"Coarse-R@{x['k']}": x["recall"] for x in rows}, r, path)
     result, _ = W.read_run(spark, path)
@@ -482,7 +482,7 @@ def k04_write_run_result(spark, d):
 def k04_read_ranking(spark, d):
     """The ranking of a written run, from its nested JSON."""
     path = fresh(spark, "run")
-    W.write_run({}, {}, ranking(spark, d), path)
+    W.write_run({}, {}, stored(ranking(spark, d), "ranking"), path)
     nested = spark.read.schema("query_id long, results array<struct<rank: long, db_id: long, sim: double>>").json(f"{path}/ranking_json")
     return nested.select("query_id", F.explode("results").alias("r")).select("query_id", "r.rank", "r.db_id", (F.round("r.sim", 6) + 0.0).alias("sim"))
 

@@ -1,6 +1,7 @@
 """Hand-made cases: sources, sinks, traps of the semantics, the pipeline façade."""
 
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -21,6 +22,7 @@ from tessella.operators import segments as S
 from tessella.plans import fixtures as X
 from tessella.plans.pipeline import image_vectors, retrieve_segments, segment_vectors
 from tessella.profile import Profile
+from tessella.queries import search as S_
 from tessella.sinks import tables as W
 from tessella.sources import files as FS
 from tessella.sources import manifests as M
@@ -425,3 +427,33 @@ def test_profile_and_models(spark):
     assert (np.diff(ramp, axis=1) > 0).all() and np.allclose(ramp + ramp[::-1, ::-1], 15.0)
     scores = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, 0.7)], "image_idx long, mask long, iou double")
     assert models.best_mask(scores, 1).first()["mask"] == 2 and models.best_mask(scores, 4).first()["mask"] == 0
+
+
+def test_search_holds_a_strip_of_products_at_a_time():
+    """Ties and copies among 4,000 rows, and vectors so near that their product cancels."""
+    rng = np.random.default_rng(4)
+    m, q = R._unit(rng.normal(size=(4000, 16))), R._unit(rng.normal(size=(2000, 16)))
+    m[100:900:2] = q[5] = m[7]
+    m[8], q[6] = m[7] + 1e-9, m[8]
+    tracemalloc.start()
+    for metric in ("cosine", "l2"):
+        tracemalloc.reset_peak()
+        row, place, score, rank = R._best(q, m, 20, metric)
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+        assert (rank.reshape(-1, 20) == np.arange(1, 21)).all()
+        for i in (0, 5, 6, 1999):
+            s = np.round(m @ q[i] if metric == "cosine" else -np.sqrt(((m - q[i]) ** 2).sum(1)), 9)
+            want = np.argsort(-s, kind="stable")[:20]
+            assert (place[row == i] == want).all() and np.allclose(score[row == i], s[want], atol=1e-12)
+    tracemalloc.stop()
+
+
+def test_positives_are_those_of_the_ranking(spark):
+    ranked = S_.ranking(spark, SF, 3)
+    got, all_ranked = S_.positives(spark, SF, ranked).collect(), ranked.select("query_id", "db_id").collect()
+    label = {r["vec_id"]: r["label"] for r in X.vectors(spark, SF).collect()}
+    assert set(got) == {r for r in all_ranked if label[r["query_id"]] == label[r["db_id"]]}
+    of = {r["query_id"]: (r["n"], r["gt"]) for r in S_.of_label(spark, SF).collect()}
+    for q in {r["query_id"] for r in all_ranked}:
+        same = [i for i, x in label.items() if i % 10 and x == label[q]]
+        assert of.get(q) == ((len(same), min(same)) if same else None)

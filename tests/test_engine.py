@@ -457,3 +457,12 @@ def test_positives_are_those_of_the_ranking(spark):
     for q in {r["query_id"] for r in all_ranked}:
         same = [i for i, x in label.items() if i % 10 and x == label[q]]
         assert of.get(q) == ((len(same), min(same)) if same else None)
+
+
+def test_blocks_meet_in_cells(spark, monkeypatch):
+    """Small cells, and no join that could send one side's copies to the driver."""
+    monkeypatch.setattr(R, "CELL_BYTES", 20_000)
+    q, db = X.split_vectors(spark, SF)
+    found = R.top_k_blocks(q, db, 5, block_rows=7, query_rows=3, broadcast_bytes=0)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(found.collect()) == set(R.top_k_blocks(q, db, 5).select(*found.columns).collect())

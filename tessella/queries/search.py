@@ -102,7 +102,7 @@ def v10_renormalize_stats(spark, d):
 @query(f"{with_views('vec_query', 'vec_db')} SELECT query_id, db_id, round(list_cosine_similarity(q, e), 6) + 0.0 AS sim FROM vec_query, vec_db")
 def j01_cosine_cross_join(spark, d):
     q, db = X.split_vectors(spark, d)
-    return R.cosine_pairs(q, db).select("query_id", "db_id", r6(F.col("sim")).alias("sim"))
+    return R.cosine_pairs(q, db, 6)
 
 
 @query(f"{_RANK} SELECT query_id, CAST(rank AS BIGINT) AS rank, db_id, round(sim, 6) + 0.0 AS sim FROM ranking WHERE rank <= 10")

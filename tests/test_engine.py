@@ -482,3 +482,16 @@ def test_mined_triplets_list_no_soft_positives(spark, monkeypatch, most):
         first = [j for _, j, d in near if d <= 9][:1]
         want |= {(i, first[0], j) for j in [j for _, j, d in near if not d <= 16][:4] if first}
     assert got == want and want
+
+
+def test_all_pairs_in_batches(spark, monkeypatch):
+    """Sent, in cells, and with vectors that are null or of another width, whose pairs have no cosine."""
+    monkeypatch.setattr(R, "CELL_BYTES", 20_000)
+    q, db = X.split_vectors(spark, SF)
+    one = {(r["query_id"], r["db_id"]): r["sim"] for r in R.cosine_pairs(q, db, 6).collect()}
+    two = {(r["query_id"], r["db_id"]): r["sim"] for r in R.cosine_pairs(q, db, 6, broadcast_bytes=0).collect()}
+    assert one == two and len(one) == q.count() * db.count()
+    assert "BroadcastNestedLoopJoin" not in R.cosine_pairs(q, db)._jdf.queryExecution().executedPlan().toString()
+    odd = db.select("db_id", "e").unionByName(spark.createDataFrame([(100001, None), (100003, [1.0, None] * 32), (100007, [1.0])], "db_id long, e array<double>"))
+    three = {(r["query_id"], r["db_id"]): r["sim"] for r in R.cosine_pairs(q, odd, 6).collect()}
+    assert len(three) == len(one) + 3 * q.count() and {v for (_, j), v in three.items() if j > 100000} == {None}

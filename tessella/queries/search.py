@@ -149,9 +149,7 @@ def w02_cumulative_hits(spark, d):
 SELECT query_id, db_id, CAST(rank() OVER (PARTITION BY query_id ORDER BY sim DESC) AS BIGINT) AS value_rank, round(cume_dist() OVER (PARTITION BY query_id ORDER BY sim), 6) AS percentile FROM s""")
 def w03_value_rank_percentile(spark, d):
     q, db = X.split_vectors(spark, d)
-    s = R.cosine_pairs(q, db).withColumn("sim", F.round("sim", 9))
-    w = Window.partitionBy("query_id")
-    return s.select("query_id", "db_id", F.rank().over(w.orderBy(F.desc("sim"))).cast("long").alias("value_rank"), F.round(F.cume_dist().over(w.orderBy("sim")), 6).alias("percentile"))
+    return R.value_ranks(q, db)
 
 
 @query(f"{_RANK} SELECT query_id, db_id, round((sim - min(sim) OVER w) / greatest(max(sim) OVER w - min(sim) OVER w, 1e-12), 6) AS x FROM ranking WINDOW w AS (PARTITION BY query_id)")

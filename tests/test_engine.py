@@ -495,3 +495,12 @@ def test_all_pairs_in_batches(spark, monkeypatch):
     odd = db.select("db_id", "e").unionByName(spark.createDataFrame([(100001, None), (100003, [1.0, None] * 32), (100007, [1.0])], "db_id long, e array<double>"))
     three = {(r["query_id"], r["db_id"]): r["sim"] for r in R.cosine_pairs(q, odd, 6).collect()}
     assert len(three) == len(one) + 3 * q.count() and {v for (_, j), v in three.items() if j > 100000} == {None}
+
+
+def test_value_ranks_without_windows(spark):
+    """Copies share a rank; by windows and by sorting where a query's row is made."""
+    q, db = X.split_vectors(spark, SF)
+    db = db.select("db_id", "e").unionByName(db.where("db_id < 40").select((F.col("db_id") + 100000).alias("db_id"), "e"))
+    one, two = R.value_ranks(q, db), R.value_ranks(q, db, broadcast_bytes=0)
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString()
+    assert set(one.collect()) == set(two.collect()) and one.groupBy("query_id", "value_rank").count().where("count > 1").count() > 0

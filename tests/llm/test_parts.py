@@ -508,3 +508,23 @@ def test_notices_by_brute_force():
                     best = max(best, min(1.0, here / whole))
         got = license_scan.scan(words, index)
         assert got["labels"] == sorted(labels) and abs(got["score"] - best) < 1e-9
+
+
+def test_many_queries_share_a_product(monkeypatch):
+    """Copies, repeated ids, queries without weight, few rows, segments in several slabs; no query is searched alone."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 24))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    v[100:140], v[7], v[8, :20], v[9:12] = v[3], 0, 0, -v[3]
+    ids = np.arange(900) // 2 * 3
+    monkeypatch.setattr(topk.ImpactIndex, "search", None)
+    for n, slab in ((900, 1 << 26), (900, 4 * 900 * 10), (6, 1 << 26), (1, 1 << 26)):
+        monkeypatch.setattr(topk, "SEGMENT_BYTES", slab)
+        index = topk.ImpactIndex(ids[:n], v[:n])
+        for _ in range(2):  # the second time it begins where most proofs came
+            at, found, score = index.search_all(v[:150], 5, ids[:150])
+            for i in range(150):
+                other = np.flatnonzero(ids[:n] != ids[i])
+                s = v[other] @ v[i]
+                want = np.lexsort((ids[other], -s))[:5]
+                assert (score[at == i] == s[want]).all() and (found[at == i] == ids[other][want]).all()

@@ -129,6 +129,35 @@ def test_both_search_paths_agree(spark):
         assert set(one) == set(two)
 
 
+def test_large_databases_bypass_the_driver(spark, monkeypatch):
+    """18 MB of vectors meet their queries in cells, with the same result as if they were sent."""
+    e = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i))
+    q = spark.range(5).select(F.col("id").alias("query_id"), e.alias("q"))
+    db = spark.range(100, 36100).select(F.col("id").alias("db_id"), e.alias("e"))
+    want = R.top_k_blocks(q, db, 4, broadcast_bytes=1 << 26).collect()
+    monkeypatch.setattr(R, "_sent", None)
+    got = R.top_k_blocks(q, db, 4)
+    assert set(got.select("query_id", "db_id", "sim", "rank").collect()) == set(want) and len(want) == 20
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("odd", [float("nan"), float("inf")])
+def test_an_odd_vector_does_not_order_all(monkeypatch, metric, odd):
+    """One vector that compares with nothing among many: other queries order few entries, and find what they found."""
+    ordered, best_of = [], R._best_of
+    monkeypatch.setattr(R, "_best_of", lambda row, *a: ordered.append(len(row)) or best_of(row, *a))
+    rng = np.random.default_rng(3)
+    q, m = R._unit(rng.normal(size=(20, 8))), R._unit(rng.normal(size=(2000, 8)))
+    row, place, score, rank = R._best(q, m, 5, metric)
+    with np.errstate(all="ignore"):
+        odd_q, odd_m = np.vstack([q, np.full((1, 8), odd)]), np.vstack([m, np.full((1, 8), odd)])
+        a, b = (R._unit(odd_q), R._unit(odd_m)) if metric == "cosine" else (odd_q, odd_m)
+        found = R._best(a, b, 5, metric)
+    of = found[0] < 20
+    assert all((x[of] == y).all() for x, y in zip(found, (row, place, score, rank)))
+    assert (~of).sum() == 5 and ordered[1] < 2001 + 20 * 200
+
+
 def test_manifests_and_sinks(spark, tmp_path):
     (tmp_path / "tiles_test.json").write_text(json.dumps({"tiles": [{"image": "a.png", "center": [1, 2]}, {"image": "b.png", "tile_id": "x", "extent": {"x": 3, "y": 4}}]}))
     (tmp_path / "queries.json").write_text(json.dumps([{"image": "q.png", "positives": ["x", "y"], "offset": {"dx": 1, "dy": -1}}]))

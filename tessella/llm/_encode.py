@@ -39,7 +39,7 @@ KEPT_BYTES = 24 << 20
 #: Words longer than this are encoded but not kept.
 KEPT_WORD_BYTES = 48
 #: Texts are taken in slices of about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Table:
@@ -249,7 +249,10 @@ class PieceEncoder:
 
 
 def slices_of(texts: pa.Array, most: int = SLICE_BYTES):
-    """A column of texts in slices of about so many bytes, nulls as empty texts."""
+    """A column of texts in slices of about so many bytes, nulls as empty texts.
+
+    What Arrow has freed since the last slice goes back to the system; else a worker keeps the most it ever took.
+    """
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64)
     at = 0
@@ -259,6 +262,7 @@ def slices_of(texts: pa.Array, most: int = SLICE_BYTES):
         # a copy, so that offsets count from the slice's start
         yield pa.concat_arrays([texts.slice(at, to - at).cast(pa.string()).fill_null(""), pa.array([], pa.string())])
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def shared_encoder(path: str, style: str = "byte_level") -> PieceEncoder:

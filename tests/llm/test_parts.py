@@ -128,6 +128,21 @@ def test_columns_in_slices(monkeypatch):
         assert e.words.nbytes + e.ids.nbytes() < 60_000
 
 
+def test_slices_give_memory_back(monkeypatch):
+    """Between slices, and after the last, Arrow returns what it has freed."""
+    pool, given_back, done = pa.default_memory_pool(), [], 0
+
+    class Told:
+        def release_unused(self):
+            given_back.append(done)
+            pool.release_unused()
+
+    monkeypatch.setattr(pa, "default_memory_pool", Told)
+    for some in _encode.slices_of(pa.array(["a" * 400, None, "b" * 400, "c"]), 300):
+        done += len(some)
+    assert done == 4 and given_back == [1, 2, 3, 4]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abcdeAB é\U0001f600", min_size=1, max_size=400), st.integers(1, 40), st.sampled_from([4, 16, 64]))
 def test_tree(text, times, leaf):
